@@ -232,7 +232,8 @@ def parse_field(df: DataFrame, field: str, vocabulary: DataFrame | None = None,
         for batch in batches:
             yield _as_lists([parser.parse(x) for x in batch.to_pylist()])
 
-    return df.withColumn(into, parse(F.col(field)))
+    # not deterministic in name only: else the filter that Spark infers for explode() parses a second time
+    return df.withColumn(into, parse.asNondeterministic()(F.col(field)))
 
 
 def _parse_with_joined_entries(df: DataFrame, field: str, special: DataFrame, into: str) -> DataFrame:
