@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import cooccurrence as co
+from quillspark.llm import leakage, splitting, text_quality
 from quillspark.llm import term_frequency as tf
 from quillspark.operators.packed_values import parse_field
 from quillspark.session import table
@@ -40,5 +41,54 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.selectExpr("item_a AS term_a", "item_b AS term_b")
 
 
-QUERIES = {"p2_frequencies": p2_frequencies, "p2_found": p2_found, "p4_together": p4_together, "p4_found": p4_found}
+#: Field, limit and overlap, in code points.
+_LIMITS = [("abstract", 2000, 200), ("title", 250, 25)]
+
+
+def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every oversized abstract and title."""
+    papers = table(spark, sf_dir, "papers")
+    cut = [splitting.split_texts(papers, "record_id", field, limit, overlap).withColumn("field", F.lit(field)) for field, limit, overlap in _LIMITS]
+    return cut[0].unionByName(cut[1]).withColumnRenamed("id", "record_id")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Oversized fields and the worst boundary at which they had to be cut."""
+    return splitting.cut_kinds(p3_pieces(spark, sf_dir), "record_id", "field")
+
+
+def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the items that leaked into them, longest runs and coverage."""
+    return leakage.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_leaks(spark, sf_dir).select("doc_id", "item_id")
+
+
+def p7_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without their leaked spans."""
+    return leakage.remove_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def _common_words(spark: SparkSession, sf_dir: str) -> list[str]:
+    best = table(spark, sf_dir, "common_words").where("word is not null").groupBy(F.lower("word").alias("word")).agg(F.min("word_rank").alias("rank"))
+    return [r.word for r in best.orderBy("rank", "word").limit(text_quality.MAX_COMMON_WORDS).collect()]
+
+
+def p8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics, failed rules and kind of every document."""
+    judged = text_quality.text_quality(table(spark, sf_dir, "documents"), "doc_id", "text", _common_words(spark, sf_dir))
+    return judged.withColumnRenamed("id", "doc_id")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that are not natural prose."""
+    return p8_quality(spark, sf_dir).where("kind <> 'prose'").select("doc_id", "kind")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (p2_frequencies, p2_found, p3_pieces, p3_found, p4_together, p4_found, p7_leaks, p7_found, p7_cleaned, p8_quality, p8_found)
+}
 SQL: dict[str, str] = {}
