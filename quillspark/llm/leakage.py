@@ -41,6 +41,13 @@ class ItemAutomaton:
         for item, sequence in sequences.items():
             self._mark(item, sequence)
 
+    @classmethod
+    def of(cls, state: dict) -> ItemAutomaton:
+        """An automaton from the plain state of another: vars(other)."""
+        own = cls.__new__(cls)
+        own.__dict__.update(state)
+        return own
+
     def _extend(self, sequence: list[int]) -> None:
         last = 0
         for word in sequence:
@@ -136,13 +143,13 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _automata(items: DataFrame, item_col: str, text_col: str, min_words: int, max_words: int):
-    """Broadcast automata that together hold all items, each within the size bound."""
+    """Broadcast states of automata that together hold all items, each within the size bound."""
     narrow = items.select(F.col(item_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
     about = narrow.agg(F.sum(F.length("text"))).first()[0] or 0  # a word takes at least two characters with its gap
     blocks = -(-(about // 2) // max_words) or 1
     for block in range(blocks):
         held = narrow.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).collect()
-        yield items.sparkSession.sparkContext.broadcast(ItemAutomaton([(r.id, r.text) for r in held], min_words))
+        yield items.sparkSession.sparkContext.broadcast(vars(ItemAutomaton([(r.id, r.text) for r in held], min_words)))
 
 
 _LEAKS = "doc_id long, item_id long, longest int, covered int, item_words int, item_coverage double, doc_coverage double"
@@ -161,7 +168,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, doc_col: str = "doc_id",
 
     def matched(automaton):
         def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            built = automaton.value
+            built = ItemAutomaton.of(automaton.value)
             for batch in batches:
                 rows = []
                 for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -200,7 +207,7 @@ def remove_leaks(documents: DataFrame, items: DataFrame, doc_col: str = "doc_id"
         if text is None:
             return None, 0, False
         found = list(WORD.finditer(text))
-        spans = merged([s for spans in automaton.value.leaks([m[0].casefold() for m in found]).values() for s in spans])
+        spans = merged([s for spans in ItemAutomaton.of(automaton.value).leaks([m[0].casefold() for m in found]).values() for s in spans])
         removed = sum(b - a + 1 for a, b in spans)
         if removed > max_coverage * len(found):
             return None, removed, True
