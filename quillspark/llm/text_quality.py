@@ -79,8 +79,7 @@ def text_statistics(df: DataFrame, id_col: str, text_col: str, common_words: lis
     t, lines, tokens = F.col("text"), F.col("lines"), F.col("tokens")
     solid = F.length(t) - _removed(t, r"[\s\x{A0}]+")
     in_lines = F.aggregate("lines", F.lit(0), lambda n, x: n + F.length(x))
-    return base.select(
-        "id",
+    statistics = [
         F.length(t).alias("n_chars"),
         F.size("words").alias("n_words"),
         _share(solid, F.size("words")).alias("mean_word_len"),
@@ -101,7 +100,9 @@ def text_statistics(df: DataFrame, id_col: str, text_col: str, common_words: lis
         _share(F.regexp_count(t, F.lit(MOJIBAKE)), solid).alias("mojibake_share"),
         _share(_removed(t, TAG), F.length(t)).alias("tag_share"),
         _share(_length_where(lines, lambda x: x.rlike(HEX_LINE)), in_lines).alias("hex_share"),
-    )
+    ]
+    # through a generator, as a filter on the kind would otherwise be pushed below and compute all of it again
+    return base.select("id", F.inline(F.array(F.struct(*statistics))))
 
 
 def _reasons() -> Column:
