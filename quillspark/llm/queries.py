@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import cooccurrence as co
-from quillspark.llm import leakage, splitting, text_quality
+from quillspark.llm import leakage, neighbours, splitting, text_quality
 from quillspark.llm import term_frequency as tf
 from quillspark.operators.packed_values import parse_field
 from quillspark.session import table
@@ -19,6 +19,16 @@ def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.select("record_id", F.transform("values.value", F.lower).alias("terms"))
 
 
+def p1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten most similar embeddings of every usable embedding."""
+    return neighbours.most_similar(table(spark, sf_dir, "condition_embeddings"), "vec_id", "aggregate_embedding", 128)
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs with a similarity of 0.8 or more, each among the ten most similar of the other."""
+    return neighbours.mutual_pairs(p1_neighbours(spark, sf_dir), 0.8).selectExpr("a AS vec_a", "b AS vec_b")
+
+
 def p2_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every descriptor with its occurrences, records and mark."""
     return tf.term_frequencies(_terms(spark, sf_dir), "record_id", "terms")
@@ -89,6 +99,6 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_frequencies, p2_found, p3_pieces, p3_found, p4_together, p4_found, p7_leaks, p7_found, p7_cleaned, p8_quality, p8_found)
+    for f in (p1_neighbours, p1_found, p2_frequencies, p2_found, p3_pieces, p3_found, p4_together, p4_found, p7_leaks, p7_found, p7_cleaned, p8_quality, p8_found)
 }
 SQL: dict[str, str] = {}
