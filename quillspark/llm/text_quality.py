@@ -44,10 +44,6 @@ def _removed(text: Column, pattern: str) -> Column:
     return F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
 
 
-def _length_where(lines: Column, test) -> Column:
-    return F.aggregate(F.filter(lines, test), F.lit(0), lambda n, x: n + F.length(x))
-
-
 def _is_in(common: list[str]):
     return (lambda w: w.isin(common)) if common else (lambda w: F.lit(False))
 
@@ -56,29 +52,48 @@ def text_statistics(df: DataFrame, id_col: str, text_col: str, common_words: lis
     """One row of statistics per text; nothing divides by zero, a null text counts as empty."""
     known = _is_in(common_words[:MAX_COMMON_WORDS])
 
-    def words(text: Column) -> Column:
-        return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}'’-]+"), lambda w: w != "")
-
-    def marked(line: Column) -> Column:
-        return line.rlike(BULLET) | line.rlike(CONTENTS) | line.rlike(REFERENCE)
-
-    def entry(line: Column) -> Column:
-        """A separate entry: marked as one, or a short line without a sentence."""
-        own = words(line)
-        short = (F.size(own) <= LIMITS["entry_words_max"]) & ~line.rlike(SENTENCE_END)
-        bare = short & (F.size(F.filter(own, known)) <= LIMITS["entry_common_max"] * F.size(own))
-        parts = F.split(line, r"[;,•|]\s")
-        inline = (F.size(parts) >= LIMITS["inline_parts_min"]) & (F.size(own) <= LIMITS["inline_words_max"] * F.size(parts)) & ~line.rlike(INNER_SENTENCE)
-        tiny = short & (F.size(own) <= LIMITS["short_entry_words_max"])
-        return marked(line) | inline | ((F.size("lines") >= LIMITS["entries_count_min"]) & (bare | tiny))
-
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    base = df.select(F.col(id_col).alias("id"), text.alias("text"))
+    def words(line: Column) -> Column:
+        return F.filter(F.split(F.lower(line), r"[^\p{L}\p{N}'’-]+"), lambda w: w != "")
+
+    def measured(x: Column) -> Column:
+        line, own = F.rtrim(x["line"]), x["own"]
+        return F.struct(
+            F.length(x["line"]).alias("size"),
+            F.size(own).alias("n"),
+            F.size(F.filter(own, known)).alias("common"),
+            line.rlike(TABLE_ROW).alias("row"),
+            line.rlike(BULLET).alias("bullet"),
+            (line.rlike(BULLET) | line.rlike(CONTENTS) | line.rlike(REFERENCE)).alias("marked"),
+            line.rlike(SENTENCE_END).alias("ended"),
+            line.rlike(HEX_LINE).alias("hex"),
+            (F.regexp_count(line, F.lit(r"[;,•|]\s")) + 1).alias("parts"),
+            line.rlike(INNER_SENTENCE).alias("sentences"),
+        )
+
+    def entry(x: Column) -> Column:
+        """A separate entry: marked as one, a row of short parts, or a short line without a sentence among others."""
+        short = (x["n"] <= LIMITS["entry_words_max"]) & ~x["ended"]
+        bare = short & ((x["common"] <= LIMITS["entry_common_max"] * x["n"]) | (x["n"] <= LIMITS["short_entry_words_max"]))
+        inline = (x["parts"] >= LIMITS["inline_parts_min"]) & (x["n"] <= LIMITS["inline_words_max"] * x["parts"]) & ~x["sentences"]
+        return ~x["row"] & (x["marked"] | inline | ((F.size("lines") >= LIMITS["entries_count_min"]) & bare))
+
+    def total(part) -> Column:
+        return F.aggregate("lines", F.lit(0), lambda n, x: n + part(x))
+
+    def size_where(test) -> Column:
+        return _share(total(lambda x: F.when(test(x), x["size"]).otherwise(0)), total(lambda x: x["size"]))
+
+    def count_where(test) -> Column:
+        return _share(total(lambda x: F.when(test(x), 1).otherwise(0)), F.size("lines"))
+
+    # step by step, so that each step's arrays are made once
+    base = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     base = base.withColumn("lines", F.filter(F.split("text", r"\r\n|[\n\r\x{85}\x{2028}]"), lambda x: x.rlike(r"\S")))
-    base = base.withColumn("words", F.filter(F.split("text", r"[\s\x{A0}]+"), lambda w: w != "")).withColumn("tokens", words(F.col("text")))
-    t, lines, tokens = F.col("text"), F.col("lines"), F.col("tokens")
-    solid = F.length(t) - _removed(t, r"[\s\x{A0}]+")
-    in_lines = F.aggregate("lines", F.lit(0), lambda n, x: n + F.length(x))
+    base = base.withColumn("lines", F.transform("lines", lambda x: F.struct(x.alias("line"), words(x).alias("own"))))
+    base = base.withColumn("words", F.filter(F.split("text", r"[\s\x{A0}]+"), lambda w: w != "")).withColumn("tokens", F.flatten("lines.own"))
+    base = base.withColumn("lines", F.transform("lines", measured))
+    base = base.withColumn("solid", F.aggregate("words", F.lit(0), lambda n, w: n + F.length(w)))
+    t, solid = F.col("text"), F.col("solid")
     statistics = [
         F.length(t).alias("n_chars"),
         F.size("words").alias("n_words"),
@@ -88,18 +103,18 @@ def text_statistics(df: DataFrame, id_col: str, text_col: str, common_words: lis
         _share(_removed(t, r"[^\p{L}\p{N}\s\x{A0}]+"), solid).alias("symbol_share"),
         _share(_removed(t, r"\p{L}+"), solid).alias("letter_share"),
         F.size("lines").alias("n_lines"),
-        _share(F.size(F.filter("lines", lambda x: F.rtrim(x).rlike(SENTENCE_END))), F.size("lines")).alias("end_punct_share"),
-        _share(F.size(F.filter("lines", lambda x: x.rlike(BULLET))), F.size("lines")).alias("bullet_share"),
-        _share(F.size(F.filter("tokens", known)), F.size("tokens")).alias("common_share"),
+        count_where(lambda x: x["ended"]).alias("end_punct_share"),
+        count_where(lambda x: x["bullet"]).alias("bullet_share"),
+        _share(total(lambda x: x["common"]), F.size("tokens")).alias("common_share"),
         _share(F.size(F.array_distinct("tokens")), F.size("tokens")).alias("distinct_share"),
-        _share(_length_where(lines, lambda x: x.rlike(TABLE_ROW)), in_lines).alias("table_share"),
-        _share(_length_where(lines, lambda x: ~x.rlike(TABLE_ROW) & entry(F.rtrim(x))), in_lines).alias("entry_share"),
-        _share(_length_where(lines, marked), in_lines).alias("marked_share"),
+        size_where(lambda x: x["row"]).alias("table_share"),
+        size_where(entry).alias("entry_share"),
+        size_where(lambda x: x["marked"]).alias("marked_share"),
         _share(F.regexp_count(t, F.lit(FINISHED)), F.size("words")).alias("sentence_rate"),
         _share(_removed(t, MENU), F.length(t)).alias("menu_share"),
         _share(F.regexp_count(t, F.lit(MOJIBAKE)), solid).alias("mojibake_share"),
         _share(_removed(t, TAG), F.length(t)).alias("tag_share"),
-        _share(_length_where(lines, lambda x: x.rlike(HEX_LINE)), in_lines).alias("hex_share"),
+        size_where(lambda x: x["hex"]).alias("hex_share"),
     ]
     # through a generator, as a filter on the kind would otherwise be pushed below and compute all of it again
     return base.select("id", F.inline(F.array(F.struct(*statistics))))
