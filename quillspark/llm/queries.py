@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import cooccurrence as co
-from quillspark.llm import leakage, neighbours, splitting, text_quality
+from quillspark.llm import leakage, neighbours, packing, splitting, text_quality
 from quillspark.llm import term_frequency as tf
 from quillspark.operators.packed_values import parse_field
 from quillspark.session import table
@@ -67,6 +67,11 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.cut_kinds(p3_pieces(spark, sf_dir), "record_id", "field")
 
 
+def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces and the model input of 512 tokens that each goes to."""
+    return packing.pack_texts(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
 def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with the items that leaked into them, longest runs and coverage."""
     return leakage.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
@@ -99,6 +104,6 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_neighbours, p1_found, p2_frequencies, p2_found, p3_pieces, p3_found, p4_together, p4_found, p7_leaks, p7_found, p7_cleaned, p8_quality, p8_found)
+    for f in (p1_neighbours, p1_found, p2_frequencies, p2_found, p3_pieces, p3_found, p4_together, p4_found, p6_packed, p7_leaks, p7_found, p7_cleaned, p8_quality, p8_found)
 }
 SQL: dict[str, str] = {}
