@@ -40,6 +40,9 @@ class ItemAutomaton:
             self._extend(sequence)
         for item, sequence in sequences.items():
             self._mark(item, sequence)
+        self.bearer = [-1] * len(self.link)  # the nearest state up the links, or itself, that bears items
+        for state in sorted(range(1, len(self.link)), key=self.length.__getitem__):
+            self.bearer[state] = state if self.items[state] else self.bearer[self.link[state]]
 
     @classmethod
     def of(cls, state: dict) -> ItemAutomaton:
@@ -99,7 +102,7 @@ class ItemAutomaton:
 
     def leaks(self, words: list[str]) -> dict[int, list[tuple[int, int]]]:
         """Spans [first, last] of words, by item, of the runs that count."""
-        ids, steps, link, length, items, sizes = self.ids, self.next, self.link, self.length, self.items, self.sizes
+        ids, steps, link, length, items, sizes, bearer = self.ids, self.next, self.link, self.length, self.items, self.sizes, self.bearer
         found: dict[int, list[tuple[int, int]]] = {}
         at = run = 0
         for i, word in enumerate(words):
@@ -116,8 +119,9 @@ class ItemAutomaton:
                 run = 0
                 continue
             at, run = to, run + 1
-            up, size = at, run
-            while items[up]:
+            up = bearer[at]
+            while up > 0:
+                size = run if up == at else length[up]
                 for item in items[up]:
                     if size >= min(self.min_words, sizes[item]):
                         spans = found.setdefault(item, [])
@@ -126,8 +130,7 @@ class ItemAutomaton:
                             spans.pop()
                         if not spans or spans[-1][1] < i:
                             spans.append((first, i))
-                up = link[up]
-                size = length[up]
+                up = bearer[link[up]]
         return found
 
 

@@ -65,7 +65,7 @@ def count_terms(df: DataFrame, record_col: str, terms_col: str, buckets: int | N
     record's share, and the counters of the shares add up.
     """
     shares = buckets or shuffle_buckets(df.sparkSession)
-    named = df.select(F.xxhash64(record_col).alias("record"), F.filter(terms_col, lambda t: t.isNotNull()).alias("terms")).where(F.col(record_col).isNotNull() & (F.size("terms") > 0))
+    named = df.where(F.col(record_col).isNotNull()).select(F.xxhash64(record_col).alias("record"), F.filter(terms_col, lambda t: t.isNotNull()).alias("terms")).where(F.size("terms") > 0)
     tokens = named.select("record", F.explode(F.array_append("terms", F.lit(_RECORD))).alias("term"))
     ordered = tokens.repartition(shares, "term", F.pmod("record", F.lit(shares))).sortWithinPartitions("record")
 

@@ -12,17 +12,17 @@ from pyspark.sql import functions as F
 #: Common words sent with the expressions at most; a longer list is cut to its best ranks by the caller.
 MAX_COMMON_WORDS = 10_000
 
-# Fixed patterns.
+# Fixed patterns. Each repetition is anchored or bounded, so that no text takes more than linear time.
 _FIGURE = r"(?:[<>=~]?[-+]?\d[\d.,]*\d?\s?%?(?:\s?(?:±|\+/-)\s?\d[\d.,]*)?|ns|n/?a|-|–)"
-_GAP = r"(?:\s*[\t;,|/]\s*|\s{2,})"
-TABLE_ROW = rf"(?i)^\s*\|?\s*[^\t|;]*?[^\s\t|;,:/]\s*(?:[\t;,|:]\s*|\s{{2,}}){_FIGURE}(?:{_GAP}{_FIGURE})+\s*\|?\s*$"
+_GAP = r"(?:\s{0,40}[\t;,|/]\s{0,40}|\s{2,40})"
+TABLE_ROW = rf"(?i)^\s*\|?\s*[^\t|;]*?[^\s\t|;,:/]\s{{0,40}}(?:[\t;,|:]\s{{0,40}}|\s{{2,40}}){_FIGURE}(?:{_GAP}{_FIGURE})+\s*\|?\s*$"
 BULLET = r"^\s*(?:[-*•‣▪–+]|\(?(?:\d{1,3}|[a-z])[.)])\s+\S"
-CONTENTS = r"\.{4,}\s*\d+\W*$"
-REFERENCE = r"\b(?:19|20)\d\d\s*;\s*\d+.*:\s*\d+"
-INNER_SENTENCE = r"\p{Ll}{2,}\)?[.!?]\s+\p{Lu}"
+CONTENTS = r"\.{4}\s{0,9}\d{1,6}\W{0,9}$"
+REFERENCE = r"\b(?:19|20)\d\d\s{0,3};\s{0,3}\d{1,6}.{0,20}:\s{0,3}\d"
+INNER_SENTENCE = r"\p{Ll}{2}\)?[.!?]\s{1,9}\p{Lu}"
 FINISHED = r"[\p{Ll}\d%)]{2}[.!?](?=\s|$)"
-SENTENCE_END = r"[.!?][\"')\]»”]*$"
-MENU = r"(?i)(?:^|[|\n]|\s{2,})\s*(?:home|login|log in|sign up|share|print|menu|rss|top \^|<< back|next >>|cart \(\d+\)|subscribe|cookie settings|© all rights|search|contact|sitemap)(?=\s*(?:$|[|\n]|\s{2,}))"
+SENTENCE_END = r"[.!?][\"')\]»”]{0,5}$"
+MENU = r"(?i)(?<=^|[|\n]|\s{2}|[|\n]\s)(?:home|login|log in|sign up|share|print|menu|rss|top \^|<< back|next >>|cart \(\d+\)|subscribe|cookie settings|© all rights|search|contact|sitemap)(?=$|[|\n]|\s{2}|\s[|\n]|\s$)"
 MOJIBAKE = r"Ã.|â€|ï»¿|Â[°-¿]|�|□"
 TAG = r"<[^<>]{1,200}>"
 HEX_LINE = r"(?i)^\s*[0-9a-f]{8}\s(?:\s*[0-9a-f]{2}){4,}"
@@ -125,7 +125,7 @@ def _reasons() -> Column:
     table = c("table_share") >= limit["table_min"]
     rules = {
         "junk:blank": c("n_words") == 0,
-        "junk:few_letters": (c("letter_share") < limit["letters_min"]) & ~table,
+        "junk:few_letters": (c("letter_share") < limit["letters_min"]) & ~table & (c("marked_share") < limit["entries_min"]),
         "junk:hex": c("hex_share") > limit["hex_max"],
         "junk:mojibake": c("mojibake_share") > limit["mojibake_max"],
         "junk:markup": c("tag_share") > limit["tags_max"],
