@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 LEVELS = ("year", "month", "week", "day", "six_hours", "quarter_hour")
 
@@ -30,14 +31,13 @@ def chunks(df: DataFrame, keys: list[str], ts_col: str, cap: int) -> DataFrame:
     source does; `lost` counts the others. Rows without a time are left out.
     """
     ts = F.col(ts_col)
-    finest = df.where(ts.isNotNull()).select(*keys, *[bucket(ts, level).alias(level) for level in LEVELS]).groupBy(*keys, *LEVELS).agg(F.count(F.lit(1)).alias("n"))
-    rest, taken = finest, None
-    for level in LEVELS:
-        sizes = rest.groupBy(*keys, level).agg(F.sum("n").alias("n"))
-        last = level == LEVELS[-1]
-        fit = sizes if last else sizes.where(F.col("n") <= cap)
-        own = fit.select(*keys, F.lit(level).alias("level"), F.col(level).alias("bucket"), "n", F.least("n", F.lit(cap)).alias("kept"), F.greatest(F.col("n") - cap, F.lit(0)).alias("lost"))
-        taken = own if taken is None else taken.unionByName(own)
-        if not last:
-            rest = rest.join(fit.select(*keys, level), [*keys, level], "left_anti")
-    return taken
+    counts = df.where(ts.isNotNull()).select(*keys, *[bucket(ts, level).alias(level) for level in LEVELS]).groupBy(*keys, *LEVELS).agg(F.count(F.lit(1)).alias("n"))
+    # the levels are nested, so that one shuffle by key and year serves all windows
+    for i, level in enumerate(LEVELS):
+        counts = counts.withColumn(f"n_{level}", F.sum("n").over(W.partitionBy(*keys, *LEVELS[: i + 1])))
+    chosen, name = F.lit(LEVELS[-1]), F.col(LEVELS[-1])
+    for level in reversed(LEVELS[:-1]):
+        fits = F.col(f"n_{level}") <= cap
+        chosen, name = F.when(fits, level).otherwise(chosen), F.when(fits, F.col(level)).otherwise(name)
+    taken = counts.groupBy(*keys, chosen.alias("level"), name.alias("bucket")).agg(F.sum("n").alias("n"))
+    return taken.select(*keys, "level", "bucket", "n", F.least("n", F.lit(cap)).alias("kept"), F.greatest(F.col("n") - cap, F.lit(0)).alias("lost"))
