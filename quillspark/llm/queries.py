@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillspark.llm import cooccurrence as co
 from quillspark.llm import leakage, neighbours, packing, splitting, text_quality
 from quillspark.llm import term_frequency as tf
+from quillspark.llm.sql_twins import SQL  # noqa: F401
 from quillspark.operators.packed_values import parse_field
 from quillspark.session import table
 
@@ -106,4 +107,4 @@ QUERIES = {
     f.__name__: f
     for f in (p1_neighbours, p1_found, p2_frequencies, p2_found, p3_pieces, p3_found, p4_together, p4_found, p6_packed, p7_leaks, p7_found, p7_cleaned, p8_quality, p8_found)
 }
-SQL: dict[str, str] = {}
+
