@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from quillspark.operators import chunking, quality, querytext, temporal, terms, vectors
 from quillspark.session import materialise, table
+from quillspark.sources.corpus_files import with_completeness
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -370,3 +371,95 @@ def semantic_drift(spark: SparkSession, d: str) -> DataFrame:
 def embedding_years(spark: SparkSession, d: str) -> DataFrame:
     years = table(spark, d, "condition_embeddings").select("condition", F.explode("years_covered").alias("y"))
     return years.groupBy("condition").agg(F.min("y").alias("first_year"), F.max("y").alias("last_year"), F.count_distinct("y").alias("years"))
+
+
+# -- further reports and exports
+
+
+@query("SELECT record_id, condition, length(abstract) AS abstract_length FROM papers WHERE length(abstract) >= 50")
+def kept_records(spark: SparkSession, d: str) -> DataFrame:
+    """Records whose abstract is long enough to be kept."""
+    return _papers(spark, d).where(F.length("abstract") >= 50).select("record_id", "condition", F.length("abstract").alias("abstract_length"))
+
+
+@query(f"WITH {_CS} SELECT condition, round(quality_score, 1) AS quality_score FROM cs ORDER BY quality_score, condition LIMIT 10")
+def lowest_conditions(spark: SparkSession, d: str) -> DataFrame:
+    """The ten lowest scores (a top-k report)."""
+    return _stats(spark, d).selectExpr("condition", "round(quality_score, 1) AS quality_score").orderBy("quality_score", "condition").limit(10)
+
+
+@query(f"WITH {_CS} SELECT CASE WHEN length(condition) > 20 THEN substring(condition, 1, 17) || '...' ELSE condition END AS label, total_papers FROM cs ORDER BY total_papers DESC, condition LIMIT 15")
+def largest_conditions(spark: SparkSession, d: str) -> DataFrame:
+    """The 15 conditions with the most papers, by short label (a top-k report)."""
+    label = F.when(F.length("condition") > 20, F.concat(F.substring("condition", 1, 17), F.lit("..."))).otherwise(F.col("condition"))
+    return _stats(spark, d).orderBy(F.desc("total_papers"), "condition").limit(15).select(label.alias("label"), "total_papers")
+
+
+@query(f"WITH {_CS} SELECT condition, replace(replace(condition, '/', '_'), ' ', '_') AS folder, {', '.join(f'round({c}, 1) AS {c}' for c in _RATES)}, {', '.join(c for c in _SCORES if c not in ('condition', 'confidence', 'duplicate_pmids'))} FROM cs")
+def score_export(spark: SparkSession, d: str) -> DataFrame:
+    """The 14 columns of the exported score table, rates with one decimal."""
+    kept = [c for c in _SCORES if c not in ("condition", "confidence", "duplicate_pmids")]
+    return _stats(spark, d).select("condition", F.translate("condition", "/ ", "__").alias("folder"), *[F.round(c, 1).alias(c) for c in _RATES], *kept)
+
+
+@query(f"WITH {_TERMS} SELECT term, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, term)::INT AS rank FROM tr GROUP BY term QUALIFY rank <= 10")
+def most_frequent_terms(spark: SparkSession, d: str) -> DataFrame:
+    """The ten most frequent terms overall (a top-k report)."""
+    best = term_counts(spark, d).orderBy(F.desc("n"), "term").limit(10)
+    return best.select("term", "n", F.row_number().over(W.orderBy(F.desc("n"), "term")).alias("rank"))
+
+
+@query("SELECT condition, count(*) AS n, count(DISTINCT pmid) AS distinct_ids, count(DISTINCT CASE WHEN years > 1 THEN pmid END) AS in_several_years FROM (SELECT condition, nullif(pmid, '') AS pmid, count(DISTINCT file_year) OVER (PARTITION BY condition, nullif(pmid, '')) AS years FROM papers WHERE nullif(pmid, '') IS NOT NULL) GROUP BY ALL")
+def cross_year_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    """Ids that a condition holds in more than one year."""
+    ids = _papers(spark, d).select("condition", "file_year", quality.blank_to_null("pmid").alias("pmid")).where("pmid is not null")
+    per_id = ids.groupBy("condition", "pmid").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("file_year").alias("years"))
+    return per_id.groupBy("condition").agg(F.sum("rows").alias("n"), F.count(F.lit(1)).alias("distinct_ids"), F.count_if(F.col("years") > 1).alias("in_several_years"))
+
+
+@query("SELECT count(*) AS entries, count(*) FILTER (WHERE lower(status) = 'complete') AS complete FROM (SELECT * FROM checkpoint QUALIFY row_number() OVER (PARTITION BY condition, year ORDER BY ts DESC NULLS LAST, entry_id DESC) = 1)")
+def work_done(spark: SparkSession, d: str) -> DataFrame:
+    """How many condition-years have a state, and how many are complete."""
+    return checkpoint_state(spark, d).agg(F.count(F.lit(1)).alias("entries"), F.count_if(F.col("status") == "complete").alias("complete"))
+
+
+@query("SELECT folder, count(DISTINCT file_year) AS files, min(file_year) AS first_year, max(file_year) AS last_year, round(count(DISTINCT CASE WHEN file_year BETWEEN 1975 AND 2024 THEN file_year END) / 50.0 * 100, 6) AS year_coverage FROM papers GROUP BY ALL")
+def corpus_inventory(spark: SparkSession, d: str) -> DataFrame:
+    """Years on file and year coverage of every folder."""
+    bounded = F.when(F.col("file_year").between(quality.FIRST_YEAR, quality.LAST_YEAR), F.col("file_year"))
+    stats = _papers(spark, d).groupBy("folder").agg(F.count_distinct("file_year").alias("files"), F.min("file_year").alias("first_year"), F.max("file_year").alias("last_year"), F.count_distinct(bounded).alias("n"))
+    return stats.select("folder", "files", "first_year", "last_year", F.round(F.col("n") / quality.YEARS * 100, 6).alias("year_coverage"))
+
+
+@query("SELECT condition, count(DISTINCT y) AS years FROM (SELECT condition, unnest(years_covered) AS y FROM condition_embeddings) GROUP BY ALL ORDER BY years DESC, condition LIMIT 10")
+def longest_series(spark: SparkSession, d: str) -> DataFrame:
+    """The ten conditions with the most years of embeddings (a top-k report)."""
+    return embedding_years(spark, d).select("condition", "years").orderBy(F.desc("years"), "condition").limit(10)
+
+
+@query("SELECT vec_id, condition, len(aggregate_embedding) AS embedding_dim, list_sort(list_distinct(years_covered)) AS years_available FROM condition_embeddings WHERE aggregate_embedding IS NOT NULL")
+def embedding_export(spark: SparkSession, d: str) -> DataFrame:
+    """What the downstream join file holds of each stored embedding, without the numbers."""
+    kept = table(spark, d, "condition_embeddings").where("aggregate_embedding is not null")
+    return kept.select("vec_id", "condition", F.size("aggregate_embedding").cast("long").alias("embedding_dim"), F.sort_array(F.array_distinct("years_covered")).alias("years_available"))
+
+
+@query("SELECT condition, year, total_found, total_retrieved, round(CASE WHEN total_found > 0 THEN total_retrieved * 100.0 / total_found ELSE 100.0 END, 6) AS completeness FROM completeness QUALIFY row_number() OVER (PARTITION BY condition, year ORDER BY ts DESC NULLS LAST, entry_id DESC) = 1")
+def completeness_state(spark: SparkSession, d: str) -> DataFrame:
+    """The last completeness entry of each condition and year, its percentage made anew."""
+    last = quality.latest(table(spark, d, "completeness"), ["condition", "year"], "ts", "entry_id")
+    return with_completeness(last).select("condition", "year", "total_found", "total_retrieved", F.round("completeness", 6).alias("completeness"))
+
+
+@query("SELECT name, ord FROM condition_catalog WHERE name IN (SELECT name FROM condition_catalog ORDER BY md5(name || '42'), name LIMIT 30)")
+def condition_sample(spark: SparkSession, d: str) -> DataFrame:
+    """A seeded sample of 30 conditions (the sampling operator itself)."""
+    return _catalog(spark, d).orderBy(F.md5(F.concat("name", F.lit("42"))), "name").limit(30).select("name", "ord")
+
+
+@query(f"WITH {_YS}, {_FILLED} SELECT file_year, {', '.join(f'''sum(papers) FILTER (WHERE file_year // 10 = {y // 10} AND papers > 0)::BIGINT AS d{y}''' for y in range(1970, 2030, 10))} FROM filled GROUP BY ALL")
+def decade_pivot(spark: SparkSession, d: str) -> DataFrame:
+    """Papers of each year pivoted by decade, with the decades given."""
+    grid = _filled(spark, d).where("papers > 0").withColumn("decade", F.concat(F.lit("d"), (F.floor(F.col("file_year") / 10) * 10).cast("string")))
+    pivot = grid.groupBy("file_year").pivot("decade", [f"d{y}" for y in range(1970, 2030, 10)]).agg(F.sum("papers"))
+    return quality.year_grid(_catalog(spark, d)).select("file_year").distinct().join(pivot, "file_year", "left")
