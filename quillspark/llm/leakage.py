@@ -193,36 +193,51 @@ def find_leaks(documents: DataFrame, items: DataFrame, doc_col: str = "doc_id",
     return found
 
 
-def remove_leaks(documents: DataFrame, items: DataFrame, doc_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_words: int = 12, max_coverage: float = 0.5) -> DataFrame:
+def remove_leaks(documents: DataFrame, items: DataFrame, doc_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_words: int = 12, max_coverage: float = 0.5, max_words: int = MAX_AUTOMATON_WORDS) -> DataFrame:
     """Documents without their leaked spans: (doc_id, text, removed_words, dropped).
 
     Spans of at least `min_words` words (or a whole shorter item) are cut out. A document of
     whose words more than `max_coverage` leaked is dropped: its text becomes null. A null text
-    stays null and is not dropped. The items must fit one automaton, else a ValueError is raised.
+    stays null and is not dropped; repeated documents stay; items beyond `max_words` words are
+    matched block by block before anything is cut.
     """
-    narrow = documents.select(F.col(doc_col).alias("doc_id"), F.col(text_col).alias("text"))
-    automata = list(_automata(items, item_col, item_text_col, min_words, MAX_AUTOMATON_WORDS))
-    if len(automata) > 1:
-        raise ValueError("more test items than one automaton holds; remove them block by block")
-    automaton = automata[0]
-
-    def clean(text: str | None) -> tuple[str | None, int, bool]:
-        if text is None:
-            return None, 0, False
-        found = list(WORD.finditer(text))
-        spans = merged([s for spans in ItemAutomaton.of(automaton.value).leaks([m[0].casefold() for m in found]).values() for s in spans])
-        removed = sum(b - a + 1 for a, b in spans)
-        if removed > max_coverage * len(found):
-            return None, removed, True
-        at, kept = 0, []
-        for a, b in spans:
-            kept.append(text[at : found[a].start()])
-            at = found[b].end()
-        return "".join([*kept, text[at:]]), removed, False
+    marked = documents.select(F.col(doc_col).alias("doc_id"), F.col(text_col).alias("text"))
+    spans = []
+    for automaton in _automata(items, item_col, item_text_col, min_words, max_words):
+        spans.append(f"spans_{len(spans)}")
+        marked = marked.withColumn(spans[-1], _spans(automaton)("text"))
 
     @F.arrow_udf("struct<text:string,removed_words:int,dropped:boolean>")
-    def cleaned(texts: pa.Array) -> pa.Array:
-        rows = [clean(t) for t in texts.to_pylist()]
+    def cut(texts: pa.Array, found: pa.Array) -> pa.Array:
+        rows = [_cut(t, f, max_coverage) for t, f in zip(texts.to_pylist(), found.to_pylist())]
         return pa.StructArray.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.bool_())], ["text", "removed_words", "dropped"])
 
-    return narrow.select("doc_id", cleaned.asNondeterministic()("text").alias("c")).select("doc_id", "c.*")
+    return marked.select("doc_id", cut.asNondeterministic()("text", F.concat(*spans)).alias("c")).select("doc_id", "c.*")
+
+
+def _spans(automaton):
+    """A function that gives the leaked spans of texts as first and last words, one after the other."""
+
+    @F.arrow_udf("array<int>")
+    def spans(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        built = ItemAutomaton.of(automaton.value)
+        for batch in batches:
+            found = [merged([s for spans in built.leaks(words_of(t)).values() for s in spans]) for t in batch.to_pylist()]
+            yield pa.array([[x for span in f for x in span] for f in found], pa.list_(pa.int32()))
+
+    return spans.asNondeterministic()
+
+
+def _cut(text: str | None, spans: list[int], max_coverage: float) -> tuple[str | None, int, bool]:
+    if text is None:
+        return None, 0, False
+    words = list(WORD.finditer(text))
+    disjoint = merged(list(zip(spans[::2], spans[1::2])))
+    removed = sum(b - a + 1 for a, b in disjoint)
+    if removed > max_coverage * len(words):
+        return None, removed, True
+    at, kept = 0, []
+    for a, b in disjoint:
+        kept.append(text[at : words[a].start()])
+        at = words[b].end()
+    return "".join([*kept, text[at:]]), removed, False

@@ -36,6 +36,9 @@ def test_longest_run_and_removal(spark):
     leaks = {r.doc_id: r for r in find_leaks(documents, evaluation).collect()}
     assert set(leaks) == {1, 2} and leaks[1].longest == 13 and leaks[2].item_coverage == 1.0
     cleaned = {r.doc_id: r for r in remove_leaks(documents, evaluation, max_coverage=0.6).collect()}
+    other = evaluation.unionByName(spark.createDataFrame([(8, "after it all"), (9, "to the end")], "item_id long, text string"))
+    pieces = {r.doc_id: r for r in remove_leaks(documents, other, max_coverage=0.9, max_words=9).collect()}
+    assert pieces[1].text == "Before.  some more words follow here ." and pieces[1].removed_words == 19
     assert cleaned[1].text == "Before. . After it all some more words follow here to the end." and cleaned[1].removed_words == 13
     assert cleaned[2].dropped and cleaned[2].text is None
     assert cleaned[3].text == "clean text" and cleaned[4].text is None and not cleaned[4].dropped
