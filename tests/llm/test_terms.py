@@ -3,7 +3,7 @@ from itertools import combinations
 
 import pytest
 
-from quillspark.llm import cooccurrence
+from quillspark.llm import cooccurrence, queries
 from quillspark.llm.cooccurrence import cooccurrence as together
 from quillspark.llm.term_frequency import term_frequencies
 
@@ -48,3 +48,13 @@ def test_pairs(spark, monkeypatch, block):
 def test_a_large_basket(spark):
     many = [f"i{n:04}" for n in range(500)]
     assert together(frame(spark, [(1, many), (2, many[:3])]), "terms").count() == 500 * 499 // 2
+
+
+def test_the_registered_pairs_are_all_pairs(spark, sf):
+    baskets = [sorted({t for t in r.terms or [] if t is not None}) for r in queries._terms(spark, sf).collect()]
+    pairs = Counter(p for b in baskets for p in combinations(b, 2))
+    assert min(pairs.values()) == 1
+    assert {(r.item_a, r.item_b): r.together for r in queries.p4_together(spark, sf).collect()} == dict(pairs)
+    single, total = Counter(t for b in baskets for t in b), sum(map(bool, baskets))
+    found = {p for p, n in pairs.items() if n >= 5 and 2000 * n >= total and n * total >= 4 * single[p[0]] * single[p[1]]}
+    assert {(r.term_a, r.term_b) for r in queries.p4_found(spark, sf).collect()} == found
