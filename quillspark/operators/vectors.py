@@ -11,8 +11,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
-def paper_text(title: str = "title", abstract: str = "abstract", terms: str = "mesh_terms") -> Column:
-    """[TITLE] t [ABSTRACT] first 2000 characters [MESH] terms; absent parts are left out."""
+#: Code points of an abstract that the reference keeps.
+REFERENCE_ABSTRACT = 2000
+
+
+def paper_text(title: str = "title", abstract: str = "abstract", terms: str = "mesh_terms", abstract_limit: int | None = None) -> Column:
+    """[TITLE] t [ABSTRACT] a [MESH] terms; absent parts are left out.
+
+    The abstract is whole, unless `abstract_limit` asks for its first code points only.
+    """
 
     def part(mark: str, value: Column) -> Column:
         return F.concat(F.lit(mark), value)
@@ -20,7 +27,8 @@ def paper_text(title: str = "title", abstract: str = "abstract", terms: str = "m
     def present(name: str) -> Column:
         return F.nullif(F.col(name), F.lit(""))
 
-    return F.concat_ws(" ", part("[TITLE] ", present(title)), part("[ABSTRACT] ", F.substring(present(abstract), 1, 2000)), part("[MESH] ", F.replace(present(terms), F.lit(";"), F.lit(", "))))
+    body = present(abstract) if abstract_limit is None else F.substring(present(abstract), 1, abstract_limit)
+    return F.concat_ws(" ", part("[TITLE] ", present(title)), part("[ABSTRACT] ", body), part("[MESH] ", F.replace(present(terms), F.lit(";"), F.lit(", "))))
 
 
 def hashing_encoder(width: int = 768) -> Callable[[list[str]], np.ndarray]:

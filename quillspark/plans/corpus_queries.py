@@ -331,6 +331,13 @@ def term_summary(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT record_id, concat_ws(' ', '[TITLE] ' || nullif(title, ''), '[ABSTRACT] ' || substring(nullif(abstract, ''), 1, 2000), '[MESH] ' || replace(nullif(mesh_terms, ''), ';', ', ')) AS text FROM papers")
 def encoder_texts(spark: SparkSession, d: str) -> DataFrame:
+    """The reference's texts, with its cut of the abstract; `encoder_whole_texts` has all of it."""
+    return _papers(spark, d).select("record_id", vectors.paper_text(abstract_limit=vectors.REFERENCE_ABSTRACT).alias("text"))
+
+
+@query("SELECT record_id, concat_ws(' ', '[TITLE] ' || nullif(title, ''), '[ABSTRACT] ' || nullif(abstract, ''), '[MESH] ' || replace(nullif(mesh_terms, ''), ';', ', ')) AS text FROM papers")
+def encoder_whole_texts(spark: SparkSession, d: str) -> DataFrame:
+    """The text of every paper with its whole abstract, as `paper_centroids` encodes it."""
     return _papers(spark, d).select("record_id", vectors.paper_text().alias("text"))
 
 

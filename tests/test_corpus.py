@@ -82,6 +82,20 @@ def test_paper_text(spark):
     assert [r[0] for r in df.select(vectors.paper_text()).collect()] == ["[TITLE] T [ABSTRACT] X [MESH] a,  b", ""]
 
 
+def test_paper_text_is_whole(spark):
+    df = spark.createDataFrame([("T", "x" * 5000 + " end", "m")], "title string, abstract string, mesh_terms string")
+    r = df.select(vectors.paper_text().alias("whole"), vectors.paper_text(abstract_limit=vectors.REFERENCE_ABSTRACT).alias("cut")).first()
+    assert r.whole == "[TITLE] T [ABSTRACT] " + "x" * 5000 + " end [MESH] m" and r.cut == "[TITLE] T [ABSTRACT] " + "x" * 2000 + " [MESH] m"
+
+
+def test_centroids_hold_whole_abstracts(spark, tmp_path):
+    for name, end in (("a", "end"), ("b", "other")):
+        df = spark.createDataFrame([("A", 2001, "T", "word " * 400 + end, "m")], "condition string, file_year int, title string, abstract string, mesh_terms string")
+        df.write.parquet(str(tmp_path / name / "papers.parquet"))
+    vecs = [corpus_queries.paper_centroids(spark, str(tmp_path / name)).first().vec for name in "ab"]
+    assert vecs[0] != vecs[1]
+
+
 def test_vectors(spark):
     df = spark.createDataFrame([("A", 2001, [0.0, 0.0])] * 3 + [("A", 2002, [4.0, 0.0]), ("A", 2002, None), ("A", 2002, [float("nan"), 1.0])], "k string, y int, v array<float>")
     assert vectors.mean_vector(df, ["k"], "v", 2).first().vec == [1.0, 0.0]
