@@ -32,13 +32,13 @@ def paper_text(title: str = "title", abstract: str = "abstract", terms: str = "m
 
 
 def hashing_encoder(width: int = 768) -> Callable[[list[str]], np.ndarray]:
-    """An offline stand-in for a language model: signed counts of hashed words, unit length."""
+    """An offline stand-in for a language model: signed counts of all hashed words, unit length."""
     import zlib
 
     def encode(texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), width), np.float32)
         for row, text in zip(out, texts):
-            for word in text.lower().split()[:512]:
+            for word in text.lower().split():
                 code = zlib.crc32(word.encode())
                 row[code % width] += 1 if code >> 31 else -1
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)

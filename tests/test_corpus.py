@@ -96,6 +96,11 @@ def test_centroids_hold_whole_abstracts(spark, tmp_path):
     assert vecs[0] != vecs[1]
 
 
+def test_the_encoder_counts_every_word():
+    a, b = vectors.hashing_encoder(64)(["word " * 600 + "end", "word " * 600 + "other"])
+    assert (a != b).any()
+
+
 def test_vectors(spark):
     df = spark.createDataFrame([("A", 2001, [0.0, 0.0])] * 3 + [("A", 2002, [4.0, 0.0]), ("A", 2002, None), ("A", 2002, [float("nan"), 1.0])], "k string, y int, v array<float>")
     assert vectors.mean_vector(df, ["k"], "v", 2).first().vec == [1.0, 0.0]
