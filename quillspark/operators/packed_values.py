@@ -42,6 +42,8 @@ _ESCAPE = re.compile(r"\\(?:u([0-9a-fA-F]{4})|(.))", re.S)
 _HEAD = re.compile(rf"(?:(?!{SEPARATORS})[^\"\u201c\u201d])*", re.I)
 _SPECIAL = re.compile(rf"{SEPARATORS}|[\"'\u201c\u201d`\u00ab\u00bb\[\]{{}}()\\]", re.I)
 _PIECE = re.compile(r"[;|,]|[^;|,]+")
+_OPENING = re.compile(rf"{SEPARATORS}|[{re.escape(''.join([*QUOTES, *QUOTES.values(), *BRACKETS, *BRACKETS.values()]))}]", re.I)
+_WORD = re.compile(r"\w+")
 _MARK = re.compile(r"(?:[-*+–]|\(?\d{1,3}[.)])\s+")
 
 
@@ -202,14 +204,37 @@ def _as_lists(parsed: list[list[tuple[str, str | None]]]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rows)
 
 
-def _entry_key(column):
-    """An entry as it is compared: without case, one blank for white space, none around separators."""
-    tidy = F.trim(F.regexp_replace(F.lower(column), r"[\s\u00a0]+", " "))
-    return F.regexp_replace(tidy, " ?([;|,]) ?", "$1")
-
-
 def _special_entries(vocabulary: DataFrame, entry_col: str) -> DataFrame:
-    return vocabulary.select(F.col(entry_col).alias("entry")).where(F.col("entry").rlike(r"[;|,\"'`\[\]{}()\\\u201c\u201d\u00ab\u00bb]")).distinct()
+    return vocabulary.select(F.col(entry_col).alias("entry")).where(F.col("entry").rlike(f"(?i){_SPECIAL.pattern}")).distinct()
+
+
+def _key(text: str, at: int = 0) -> str:
+    """The head by which the vocabulary is looked up; of an empty head, the first word behind it."""
+    if head := _tidy(_HEAD.match(text, at)[0]).lower():
+        return head
+    word = _WORD.search(text, at)
+    return '"' + word[0].casefold() if word else '"'
+
+
+def _candidate_keys(text: str) -> set[str]:
+    """Keys of all places of a text, and of its quoted contents, where the parser may look for an entry."""
+    keys: set[str] = set()
+    seen, waiting, parser = {text}, [text], Parser([])
+    while waiting:
+        text = waiting.pop()
+        keys.add(_key(_tidy(text)))
+        closings = ["", *(BRACKETS[b] for b in BRACKETS if b in text)]
+        for at in {0, *(m.end() for m in _OPENING.finditer(text))}:
+            at = _BLANK.match(text, at).end()
+            while at < len(text):
+                keys.add(_key(text, at))
+                if text[at] in QUOTES:
+                    contents = {parser._quoted(text, at, closing)[0] for closing in closings}
+                    waiting.extend(contents - seen)
+                    seen |= contents
+                mark = _MARK.match(text, at)
+                at = mark.end() if mark else len(text)
+    return keys
 
 
 def parse_field(df: DataFrame, field: str, vocabulary: DataFrame | None = None, entry_col: str = "descriptor", into: str = "values", max_shipped: int = MAX_SHIPPED_ENTRIES) -> DataFrame:
@@ -237,21 +262,20 @@ def parse_field(df: DataFrame, field: str, vocabulary: DataFrame | None = None,
 
 
 def _parse_with_joined_entries(df: DataFrame, field: str, special: DataFrame, into: str) -> DataFrame:
-    """For a vocabulary of any size: each distinct field text meets only the entries it may hold."""
-    keyed = special.withColumn("key", _entry_key("entry"))
-    longest = keyed.agg(F.max(F.size(F.split("key", "[;|,]")))).first()[0]
+    """For a vocabulary of any size: each distinct field text meets only the entries it may hold.
+
+    Those are the entries with the head of any place where the parser may begin a value, so
+    that the result is that of a parser with the whole vocabulary.
+    """
+    @F.arrow_udf("string")
+    def entry_key(entries: pa.Array) -> pa.Array:
+        return pa.array([_key(_tidy(e)) for e in entries.to_pylist()], pa.string())
 
     @F.arrow_udf("array<string>")
-    def candidates(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        piece, outer = re.compile(r"[^;|,\t\r\n\v\f\[\]{}]+|."), re.compile(r" ?([;|,]) ?")
-        for batch in batches:
-            found = []
-            for text in batch.to_pylist():
-                pieces = piece.findall(text.replace('""', '"').replace('\\"', '"')) if text else []
-                runs = {"".join(pieces[i:j]) for i in range(len(pieces)) for j in range(i + 1, min(len(pieces), i + 2 * longest) + 1)}
-                forms = {form for run in runs for form in (run, run.strip(" \u00a0\"'"), run.strip(" \u00a0")[1:], run.strip(" \u00a0")[:-1])}
-                found.append(sorted({outer.sub(r"\1", _tidy(form).lower()) for form in forms} - {""}))
-            yield pa.array(found, pa.list_(pa.string()))
+    def candidates(texts: pa.Array) -> pa.Array:
+        return pa.array([sorted(_candidate_keys(t)) for t in texts.to_pylist()], pa.list_(pa.string()))
+
+    keyed = special.withColumn("key", entry_key("entry"))
 
     @F.arrow_udf(_SQL_TYPE)
     def parse(texts: pa.Array, listed: pa.Array) -> pa.Array:

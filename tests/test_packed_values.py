@@ -56,6 +56,24 @@ def test_operator(spark, max_shipped):
     assert sorted((str(r.id), r.pos, r.value) for r in got) == want
 
 
+FORMS = [
+    "X • {} • Y", "X<br/>{}<BR>Y", "1. {}\n2. X", "({}); X", "“{}”; X", "«{}»|X", "‘{}’, X", "[({}), X]", "['{}', \"X\"]", "{{{}}}", "X； {}；Y", "X、{}", "- {}", "(1) {}",
+    "['1. {}']", "\"'{}'; X\"", "X\u2028{}", "  {}  ",
+]
+
+
+@pytest.mark.parametrize("max_shipped", [100, 2])
+def test_every_form_of_a_listed_entry(spark, max_shipped):
+    broken = [e.replace(", ", ",\n ") for e in ENTRIES[:3]]
+    texts = [form.format(e) for form in FORMS for e in [*ENTRIES, *broken, "Ringed • Entry", '"Sham Cure" Trials', '"Sham\nCure" Trials']]
+    vocabulary = [*ENTRIES, "Ringed • Entry", '"Sham Cure" Trials']
+    parser = Parser(vocabulary)
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, packed string")
+    got = {(r.id, r.pos): (r.value, r.error) for r in split_values(df, "id", "packed", spark.createDataFrame([(e,) for e in vocabulary], "descriptor string"), max_shipped=max_shipped).collect()}
+    assert got == {(i, pos): v for i, text in enumerate(texts) for pos, v in enumerate(parser.parse(text), 1)}
+    assert [v for v, _ in parser.parse("X • Adults,\n Middle Years • Y")] == ["X", "Adults, Middle Years", "Y"]
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "id long, packed string")
     assert split_values(df, "id", "packed").count() == 0
