@@ -26,20 +26,26 @@ def words_of(text: str | None) -> list[str]:
 
 
 class ItemAutomaton:
-    """Generalised suffix automaton of the items' words, each state with its items."""
+    """Generalised suffix automaton of the items' words, each state with its texts.
+
+    An id with several texts is one item that all of them belong to.
+    """
 
     def __init__(self, items: list[tuple[int, str]], min_words: int):
         self.min_words = min_words
         self.ids: dict[str, int] = {}
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
-        self.items: list[set[int]] = [set()]
-        self.sizes: dict[int, int] = {}
-        sequences = {item: [self.ids.setdefault(w, len(self.ids)) for w in words_of(text)] for item, text in items}
-        for sequence in sequences.values():
+        self.items: list[set[int]] = [set()]  # places of the texts in `owners`
+        sequences = list(dict.fromkeys((item, tuple(self.ids.setdefault(w, len(self.ids)) for w in words_of(text))) for item, text in items))
+        self.owners = [item for item, _ in sequences]
+        self.lengths = [len(sequence) for _, sequence in sequences]
+        self.sizes: dict[int, int] = {}  # words of an item, in all its texts
+        for item, sequence in sequences:
+            self.sizes[item] = self.sizes.get(item, 0) + len(sequence)
             self._extend(sequence)
-        for item, sequence in sequences.items():
-            self._mark(item, sequence)
+        for own, (_, sequence) in enumerate(sequences):
+            self._mark(own, sequence)
         self.bearer = [-1] * len(self.link)  # the nearest state up the links, or itself, that bears items
         for state in sorted(range(1, len(self.link)), key=self.length.__getitem__):
             self.bearer[state] = state if self.items[state] else self.bearer[self.link[state]]
@@ -51,7 +57,7 @@ class ItemAutomaton:
         own.__dict__.update(state)
         return own
 
-    def _extend(self, sequence: list[int]) -> None:
+    def _extend(self, sequence: tuple[int, ...]) -> None:
         last = 0
         for word in sequence:
             known = self.next[last].get(word)
@@ -86,23 +92,22 @@ class ItemAutomaton:
             at = self.link[at]
         return own
 
-    def _mark(self, item: int, sequence: list[int]) -> None:
-        """Note the item at all states of its runs that count: long ones, or the whole short item."""
+    def _mark(self, own: int, sequence: tuple[int, ...]) -> None:
+        """Note the text at all states of its runs that count: long ones, or the whole short text."""
         least = min(self.min_words, len(sequence))
         if not least:
             return
-        self.sizes[item] = len(sequence)
         at = 0
         for word in sequence:
             at = self.next[at][word]
             up = at
-            while self.length[up] >= least and item not in self.items[up]:
-                self.items[up].add(item)
+            while self.length[up] >= least and own not in self.items[up]:
+                self.items[up].add(own)
                 up = self.link[up]
 
     def leaks(self, words: list[str]) -> dict[int, list[tuple[int, int]]]:
         """Spans [first, last] of words, by item, of the runs that count."""
-        ids, steps, link, length, items, sizes, bearer = self.ids, self.next, self.link, self.length, self.items, self.sizes, self.bearer
+        ids, steps, link, length, items, lengths, bearer = self.ids, self.next, self.link, self.length, self.items, self.lengths, self.bearer
         found: dict[int, list[tuple[int, int]]] = {}
         at = run = 0
         for i, word in enumerate(words):
@@ -122,16 +127,19 @@ class ItemAutomaton:
             up = bearer[at]
             while up > 0:
                 size = run if up == at else length[up]
-                for item in items[up]:
-                    if size >= min(self.min_words, sizes[item]):
-                        spans = found.setdefault(item, [])
+                for own in items[up]:
+                    if size >= min(self.min_words, lengths[own]):
+                        spans = found.setdefault(own, [])
                         first = i - size + 1
                         while spans and spans[-1][0] >= first:
                             spans.pop()
                         if not spans or spans[-1][1] < i:
                             spans.append((first, i))
                 up = bearer[link[up]]
-        return found
+        by_item: dict[int, list[tuple[int, int]]] = {}
+        for own, spans in found.items():
+            by_item.setdefault(self.owners[own], []).extend(spans)
+        return by_item
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -163,7 +171,9 @@ def find_leaks(documents: DataFrame, items: DataFrame, doc_col: str = "doc_id",
 
     One row (doc_id, item_id, longest, covered, item_words, item_coverage, doc_coverage) per
     row of `documents` and item: the longest common run and the words of the document in such
-    runs, the latter also as a share of the item (at most 1) and of the document. Null and
+    runs, the latter also as a share of the item (at most 1) and of the document. An id with
+    several different texts is one item: a leak of any of them counts, and item_words is the
+    sum of them. Null and
     empty texts and items without words give no rows; repeated documents give repeated rows;
     other columns are ignored. Items beyond `max_words` words take one pass per block of items.
     """

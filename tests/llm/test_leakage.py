@@ -49,3 +49,11 @@ def test_automaton_state_travels():
     again = ItemAutomaton.of(vars(automaton))
     assert again.leaks(list("xabcd")) == automaton.leaks(list("xabcd")) == {1: [(1, 3)], 2: [(2, 4)]}
     assert merged([(5, 6), (1, 2), (2, 4)]) == [(1, 6)]
+
+
+def test_every_text_of_a_repeated_id_counts(spark):
+    evaluation = spark.createDataFrame([(7, "one two three"), (7, "four five six"), (7, "one two three")], "item_id long, text string")
+    documents = spark.createDataFrame([(1, "x one two three y"), (2, "four five six one two three"), (3, "three four")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.longest, r.covered, r.item_words) for r in find_leaks(documents, evaluation).collect())
+    assert got == [(1, 7, 3, 3, 6), (2, 7, 3, 6, 6)]
+    assert {r.doc_id: r.removed_words for r in remove_leaks(documents, evaluation).collect()} == {1: 3, 2: 6, 3: 0}
