@@ -10,7 +10,6 @@ each length make it, and that filling is repeated as often as the items allow.
 from __future__ import annotations
 
 import base64
-import re
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -25,8 +24,6 @@ from quillspark.session import materialise
 GROUP_ITEMS = 65_536
 #: Folder of the public tokenizers' vocabulary files, and the byte-level vocabulary used.
 TOKENIZERS, VOCABULARY = "/opt/tokenizers", "byte_bpe_50k.tiktoken"
-#: Longest stretch without white space that is tokenized at once.
-LONGEST_WORD = 2_000
 
 # Fixed value: how the byte-level vocabulary's own tokenizer splits a text into words.
 WORDS = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
@@ -39,27 +36,12 @@ def token_counter(folder: str = TOKENIZERS, vocabulary: str = VOCABULARY):
     lines = map(bytes.split, (Path(folder) / vocabulary).read_bytes().splitlines())
     encoding = tiktoken.Encoding("own", pat_str=WORDS, mergeable_ranks={base64.b64decode(a): int(b) for a, b in lines}, special_tokens={})
 
-    def count(text: str) -> int:
-        return len(encoding.encode_ordinary(text))
-
-    stretch = re.compile(rf"\S{{{LONGEST_WORD + 1},}}")
-
     def count_all(texts: list[str | None]) -> list[int]:
-        # a very long stretch is counted part by part: merging takes more than linear time
-        return [sum(count(part) for part in _parts(text, stretch)) if text else 0 for text in texts]
+        return [len(encoding.encode_ordinary(text)) if text else 0 for text in texts]
 
     return count_all
 
 
-def _parts(text: str, stretch: re.Pattern) -> Iterator[str]:
-    at = 0
-    for m in stretch.finditer(text):
-        yield text[at : m.start()]
-        yield from (text[i : min(i + LONGEST_WORD, m.end())] for i in range(m.start(), m.end(), LONGEST_WORD))
-        at = m.end()
-    yield text[at:]
-
-
 def best_filling(counts: list[int], capacity: int) -> dict[int, int]:
     """How many items of each length fill a container closest to its capacity."""
     within = (1 << (capacity + 1)) - 1

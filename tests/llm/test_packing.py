@@ -1,5 +1,6 @@
 import numpy as np
 
+from quillspark.llm import packing
 from quillspark.llm.packing import best_filling, minimum_bin_slack, pack_texts, token_counter
 
 
@@ -32,3 +33,14 @@ def test_pack_operator(spark):
     places = got.groupby("container").place.apply(sorted)
     assert all(p == list(range(1, len(p) + 1)) for p in places)
     assert pack_texts(df.limit(0), "id", "text").count() == 0
+
+
+def test_long_stretches_count_as_the_tokenizer_counts_them():
+    import base64
+
+    import tiktoken
+
+    lines = map(bytes.split, open(f"{packing.TOKENIZERS}/{packing.VOCABULARY}", "rb"))
+    encoding = tiktoken.Encoding("own", pat_str=packing.WORDS, mergeable_ranks={base64.b64decode(a): int(b) for a, b in lines}, special_tokens={})
+    texts = ["a " + "abcdefg" * 700 + " b", "的一是不了人我在有他" * 500, "x " + "word-" * 900]
+    assert packing.token_counter()(texts) == [len(encoding.encode_ordinary(t)) for t in texts]
