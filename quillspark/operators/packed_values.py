@@ -12,12 +12,15 @@ first that ends at a separator, at a closing bracket or at the end of the field:
     bare    <- everything up to the next separator
 
 A quote or bracket that does not end there makes the parser go back and read the value
-as bare text; the value is then flagged.
+as bare text; the value is then flagged. What was found out about a place of the text (the
+value that begins there, where its quote or bracket ends) is kept, so that going back does not
+read it again: the time grows in proportion to the text, however malformed it is.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,21 +28,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values of the grammar.
-SEPARATORS = r"[;|,\t\r\n\v\f\x85  •‣▪●·；｜，、]|<\s*br\s*/?\s*>"
+SEPARATORS = r"[;|,\t\r\n\v\f\x85  •‣▪●·；｜，、]|<\s*br\s*(?:/\s*)?>"
 QUOTES = {'"': '"', "'": "'", "“": "”", "‘": "’", "«": "»", "`": "`"}
 BRACKETS = {"[": "]", "{": "}", "(": ")"}
 PLACEHOLDERS = frozenset(
-    "- -- --- . .. ... ? n/a na n.a. n.a nan none null nil <na> <null> #n/a missing unknown not available "
-    "not applicable not indexed no mesh terms".split(" ")
-) | {"not available", "not applicable", "not indexed", "no mesh terms"}
+    {
+        "-", "--", "---", ".", "..", "...", "?", "n/a", "na", "n.a.", "n.a", "nan", "none", "null", "nil", "<na>", "<null>", "#n/a", "missing", "unknown",
+        "not available", "not applicable", "not indexed", "no mesh terms",
+    }
+)
+#: Quotes inside quotes that are resolved; what is enclosed deeper is read as bare text.
+MAX_DEPTH = 32
 
 #: Largest vocabulary, in entries that hold a separator or quote, that is sent to every task.
 MAX_SHIPPED_ENTRIES = 200_000
 
 _SEPARATOR = re.compile(SEPARATORS, re.I)
 _BLANK = re.compile(r"[^\S\t\r\n\v\f\x85\u2028\u2029]*")
+_GAP = re.compile(rf"(?:[^\S\t\r\n\v\f\x85\u2028\u2029]|{SEPARATORS})*", re.I)
 _ESCAPE = re.compile(r"\\(?:u([0-9a-fA-F]{4})|(.))", re.S)
-_HEAD = re.compile(rf"(?:(?!{SEPARATORS})[^\"\u201c\u201d])*", re.I)
+_HEAD_QUOTES = "\"\u201c\u201d"
+_HEAD = re.compile(rf"(?:(?!{SEPARATORS})[^{_HEAD_QUOTES}])*", re.I)
+_HEAD_END = re.compile(rf"{SEPARATORS}|[{_HEAD_QUOTES}]", re.I)
 _SPECIAL = re.compile(rf"{SEPARATORS}|[\"'\u201c\u201d`\u00ab\u00bb\[\]{{}}()\\]", re.I)
 _PIECE = re.compile(r"[;|,]|[^;|,]+")
 _OPENING = re.compile(rf"{SEPARATORS}|[{re.escape(''.join([*QUOTES, *QUOTES.values(), *BRACKETS, *BRACKETS.values()]))}]", re.I)
@@ -72,114 +82,176 @@ class Vocabulary:
             ]
             for head, found in heads.items()
         }
-
-    def match(self, text: str, at: int) -> int:
-        """Where the longest entry that starts here ends, or -1."""
-        for pattern in self.heads.get(_tidy(_HEAD.match(text, at)[0]).lower(), ()):
+        # a text that goes on beyond the longest head is none
+        words = [head.split() for head in heads]
+        longest = max((len(w) for head in words for w in head), default=0) + 4  # lower case may be longer or shorter
+        self.head = re.compile(rf"\s*(?:\S{{1,{longest}}}\s*){{0,{max(map(len, words), default=0) + 1}}}")
+
+    def match(self, text: str, at: int, head_end: int) -> int:
+        """Where the longest entry that starts here ends, or -1; the head, if it is one, ends at `head_end`."""
+        if not self.heads or self.head.match(text, at, head_end).end() < head_end:
+            return -1
+        for pattern in self.heads.get(_tidy(text[at:head_end]).lower(), ()):
             if found := pattern.match(text, at):
                 return found.end()
         return -1
 
 
-class Parser:
-    def __init__(self, entries: list[str]):
-        self.vocabulary = Vocabulary(entries)
+class _Reading:
+    """A text being parsed, with what is known about its places."""
 
-    def parse(self, text: str | None) -> list[tuple[str, str | None]]:
-        """The values of a field in order, each with an error flag or None."""
-        if text is None or _tidy(text).lower() in PLACEHOLDERS:
-            return []
-        values: list[tuple[str, str | None]] = []
-        self._items(text, 0, "", values)
-        return values
+    def __init__(self, text: str, vocabulary: Vocabulary, depth: int = 0):
+        self.text, self.vocabulary, self.depth = text, vocabulary, depth
+        self.head_ends = [m.start() for m in _HEAD_END.finditer(text)]
+        self.separators = [at for at in self.head_ends if text[at] not in _HEAD_QUOTES]
+        self.places: dict[str, list[int]] = {}
+        self.ending: dict[tuple[int, str], bool] = {}
+        self.quotes: dict[tuple[str, str], dict[int, int]] = {}
+        self.steps: dict[tuple[int, str], tuple] = {}  # by place and closing bracket: end, kind and details of the value
+        self.stops: dict[tuple[int, str], int] = {}  # where reading values from there ends
+
+    def _next(self, places: list[int], at: int) -> int:
+        i = bisect_left(places, at)
+        return places[i] if i < len(places) else len(self.text)
 
-    def _ends(self, text: str, at: int, closing: str) -> bool:
+    def _all(self, pattern: str) -> list[int]:
+        if pattern not in self.places:
+            self.places[pattern] = [m.start() for m in re.finditer(pattern, self.text)]
+        return self.places[pattern]
+
+    def _ends(self, at: int, closing: str) -> bool:
         """Whether a value may end here."""
-        at = _BLANK.match(text, at).end()
-        return at == len(text) or text[at] in closing or bool(_SEPARATOR.match(text, at))
+        key = at, closing
+        if key not in self.ending:
+            at = _BLANK.match(self.text, at).end()
+            self.ending[key] = at == len(self.text) or self.text[at] in closing or bool(_SEPARATOR.match(self.text, at))
+        return self.ending[key]
+
+    def _skip(self, at: int) -> int:
+        """The next place that is neither blank nor a separator."""
+        return _GAP.match(self.text, at).end()
+
+    def quote_end(self, at: int, closing: str) -> int:
+        """Where the quote that begins here ends, or -1 if it never does at a value's end."""
+        text, quote = self.text, QUOTES[self.text[at]]
+        known, places = self.quotes.setdefault((quote, closing), {}), self._all(rf"[\\{quote}]")
+        passed, at, end = [], self._next(places, at + 1), None
+        while end is None:
+            passed.append(at)
+            if at in known:
+                end = known[at]
+            elif at == len(text):
+                end = -1
+            elif text[at] == "\\":
+                escape = _ESCAPE.match(text, at)
+                at = self._next(places, escape.end() if escape else at + 1)
+            elif text[at + 1 : at + 2] == quote and not (quote == "'" and self._ends(at + 2, closing)):
+                at = self._next(places, at + 2)
+            elif self._ends(at + 1, closing):
+                end = at + 1
+            else:
+                at = self._next(places, at + 1)
+        known.update(dict.fromkeys(passed, end))
+        return end
 
-    def _items(self, text: str, at: int, closing: str, values: list) -> int:
-        """Read values up to the closing bracket or the end; return where reading stopped."""
-        while True:
-            at = _BLANK.match(text, at).end()
-            if at >= len(text) or text[at] in closing:
-                return at
-            if found := _SEPARATOR.match(text, at):
-                at = found.end()
-                continue
-            at = self._value(text, at, closing, values)
+    def content(self, at: int, end: int) -> str:
+        """What a quote encloses, doubled quotes and escapes resolved."""
+        quote, inside = QUOTES[self.text[at]], self.text[at + 1 : end - 1]
+        return re.sub(rf"{_ESCAPE.pattern}|({quote}){quote}", lambda m: m[3] or _unescape(m[0]), inside, flags=re.S)
 
-    def _value(self, text: str, at: int, closing: str, values: list) -> int:
-        if text[at].isalpha() and not closing:  # most values: neither enclosed nor the start of a listed entry
-            end = self._bare_end(text, at)
-            value = _tidy(text[at:end])
-            if value[-1].isalnum() and value.lower() not in self.vocabulary.heads:
-                values.append((value, None))
-                return end
-        if (end := self.vocabulary.match(text, at)) >= 0 and self._ends(text, end, closing):
-            values.append((_tidy(text[at:end]), None))
-            return end
-        if mark := _MARK.match(text, at):
-            if mark.end() < len(text) and not _SEPARATOR.match(text, mark.end()):
-                return self._value(text, mark.end(), closing, values)
+    def _bare_end(self, at: int, closing: str) -> int:
+        end = self._next(self.separators, at)
+        if closing:
+            cut = self._next(self._all(re.escape(closing)), at)
+            end = max(at + 1, cut if cut < end and self._ends(cut + 1, "]})") else end)
+        return end
+
+    def _try(self, at: int, closing: str) -> tuple[int, str] | None:
+        """Note the value that begins here; or tell the place from which reading must be followed first."""
+        text, begin = self.text, at
+        while True:
+            end = self.vocabulary.match(text, at, self._next(self.head_ends, at))
+            if end >= 0 and self._ends(end, closing):
+                self.steps[begin, closing] = end, "listed", at, None
+                return None
+            mark = _MARK.match(text, at)
+            if not mark or mark.end() == len(text) or _SEPARATOR.match(text, mark.end()):
+                break
+            at = mark.end()
         first, error = text[at], None
         if first in QUOTES:
-            content, end = self._quoted(text, at, closing)
+            end = self.quote_end(at, closing) if self.depth < MAX_DEPTH else -1
             if end >= 0:
-                self._content(content, values)
-                return end
+                self.steps[begin, closing] = end, "quoted", at, None
+                return None
             error = "quote"
         elif first in BRACKETS:
-            inside: list = []
-            end = self._items(text, at + 1, BRACKETS[first], inside)
-            if end < len(text) and self._ends(text, end + 1, closing) and (first == "[" or not closing):
-                values.extend(inside)
-                return end + 1
-            error = "bracket"
-        return self._bare(text, at, closing, error, values)
-
-    def _quoted(self, text: str, at: int, closing: str) -> tuple[str, int]:
-        """Content and end of a quoted value, -1 if the quote never ends at a value's end."""
-        quote, i, parts = QUOTES[text[at]], at + 1, []
-        while i < len(text):
-            c = text[i]
-            if c == "\\" and i + 1 < len(text):
-                width = 6 if _ESCAPE.match(text, i)[1] else 2
-                parts.append(_unescape(text[i : i + width]))
-                i += width
-            elif c == quote:
-                if text[i + 1 : i + 2] == quote and not (quote == "'" and self._ends(text, i + 2, closing)):
-                    parts.append(c)
-                    i += 2
-                elif self._ends(text, i + 1, closing):
-                    return "".join(parts), i + 1
+            inner, error = BRACKETS[first], "bracket"
+            if (first == "[" or not closing) and self._next(self._all(re.escape(inner)), at) < len(text):
+                inside = self._skip(at + 1)
+                if (stop := self.stops.get((inside, inner))) is None:
+                    return inside, inner
+                if stop < len(text) and self._ends(stop + 1, closing):
+                    self.steps[begin, closing] = stop + 1, "bracket", inside, inner
+                    return None
+        self.steps[begin, closing] = self._bare_end(at, closing), "bare", at, error
+        return None
+
+    def _follow(self, at: int, closing: str) -> None:
+        """Find where reading values from here ends: at the closing bracket or the end of the text."""
+        waiting = [(at, closing, [])]
+        while waiting:
+            at, closing, passed = waiting.pop()
+            inside = None
+            while (at, closing) not in self.stops:
+                if at >= len(self.text) or self.text[at] in closing:
+                    self.stops[at, closing] = at
+                    break
+                if (at, closing) not in self.steps and (inside := self._try(at, closing)):
+                    waiting += [(at, closing, passed), (*inside, [])]
+                    break
+                passed.append(at)
+                at = self._skip(self.steps[at, closing][0])
+            if not inside:
+                self.stops.update(dict.fromkeys(((p, closing) for p in passed), self.stops[at, closing]))
+
+    def read(self, at: int, values: list) -> int:
+        """Add the values that begin at this place, outside of brackets; return where they end."""
+        while (at, "") not in self.steps and (inside := self._try(at, "")):
+            self._follow(*inside)
+        end, kind, *inside = self.steps[at, ""]
+        if kind != "bracket":
+            self._add(self.steps[at, ""], "", values)
+            return end
+        waiting = [tuple(inside)]
+        while waiting:
+            at, closing = waiting.pop()
+            while at < len(self.text) and self.text[at] not in closing:
+                step = self.steps[at, closing]
+                at = self._skip(step[0])
+                if step[1] == "bracket":
+                    waiting.append((at, closing))
+                    at, closing = step[2:]
                 else:
-                    parts.append(c)
-                    i += 1
-            else:
-                parts.append(c)
-                i += 1
-        return "", -1
-
-    def _content(self, content: str, values: list) -> None:
-        """A quoted text is one value, unless it holds separators and is not listed."""
-        tidy = _tidy(content)
-        if tidy and (tidy.lower() in self.vocabulary.exact or not _SEPARATOR.search(tidy)):
-            values.append((tidy, None))
-        elif tidy:
-            self._items(content, 0, "", values)
+                    self._add(step, closing, values)
+        return end
 
-    @staticmethod
-    def _bare_end(text: str, at: int) -> int:
-        found = _SEPARATOR.search(text, at)
-        return found.start() if found else len(text)
+    def _add(self, step: tuple, closing: str, values: list) -> None:
+        end, kind, at, error = step
+        if kind == "listed":
+            values.append((_tidy(self.text[at:end]), None))
+        elif kind == "bare":
+            self._add_bare(_tidy(self.text[at:end]), error, values)
+        else:
+            content = self.content(at, end)
+            tidy = _tidy(content)
+            if tidy and (tidy.lower() in self.vocabulary.exact or not _SEPARATOR.search(tidy)):
+                values.append((tidy, None))
+            elif tidy:
+                _parse(content, self.vocabulary, values, self.depth + 1)
 
-    def _bare(self, text: str, at: int, closing: str, error: str | None, values: list) -> int:
-        end = self._bare_end(text, at)
-        if closing:
-            cut = min((i for c in closing if (i := text.find(c, at, end)) >= 0 and self._ends(text, i + 1, "")), default=end)
-            end = max(cut, at + 1)
-        value = _tidy(text[at:end])
+    @staticmethod
+    def _add_bare(value: str, error: str | None, values: list) -> None:
         if error:
             value = _tidy(value.lstrip("".join(QUOTES)).lstrip("".join(BRACKETS)))
         if value[-1:] in QUOTES and value.count(value[-1]) % 2:
@@ -188,7 +260,37 @@ class Parser:
             value, error = _tidy(value[:-1]), "bracket"
         if value:
             values.append((value, error))
-        return end
+
+
+def _parse(text: str, vocabulary: Vocabulary, values: list, depth: int = 0) -> None:
+    reading, at = None, 0
+    while True:
+        at = _GAP.match(text, at).end()
+        if at >= len(text):
+            return
+        if text[at].isalpha():  # most values: neither enclosed nor the start of a listed entry
+            found = _SEPARATOR.search(text, at)
+            end = found.start() if found else len(text)
+            value = _tidy(text[at:end])
+            if value[-1].isalnum() and value.lower() not in vocabulary.heads:
+                values.append((value, None))
+                at = end
+                continue
+        if reading is None:
+            reading = _Reading(text, vocabulary, depth)
+        at = reading.read(at, values)
+
+
+class Parser:
+    def __init__(self, entries: list[str]):
+        self.vocabulary = Vocabulary(entries)
+
+    def parse(self, text: str | None) -> list[tuple[str, str | None]]:
+        """The values of a field in order, each with an error flag or None."""
+        values: list[tuple[str, str | None]] = []
+        if text is not None and _tidy(text).lower() not in PLACEHOLDERS:
+            _parse(text, self.vocabulary, values)
+        return values
 
 
 _VALUES = pa.struct([("value", pa.string()), ("error", pa.string())])
@@ -219,9 +321,10 @@ def _key(text: str, at: int = 0) -> str:
 def _candidate_keys(text: str) -> set[str]:
     """Keys of all places of a text, and of its quoted contents, where the parser may look for an entry."""
     keys: set[str] = set()
-    seen, waiting, parser = {text}, [text], Parser([])
+    seen, waiting = {text}, [text]
     while waiting:
         text = waiting.pop()
+        reading = _Reading(text, Vocabulary([]))
         keys.add(_key(_tidy(text)))
         closings = ["", *(BRACKETS[b] for b in BRACKETS if b in text)]
         for at in {0, *(m.end() for m in _OPENING.finditer(text))}:
@@ -229,7 +332,7 @@ def _candidate_keys(text: str) -> set[str]:
             while at < len(text):
                 keys.add(_key(text, at))
                 if text[at] in QUOTES:
-                    contents = {parser._quoted(text, at, closing)[0] for closing in closings}
+                    contents = {reading.content(at, end) for closing in closings if (end := reading.quote_end(at, closing)) >= 0}
                     waiting.extend(contents - seen)
                     seen |= contents
                 mark = _MARK.match(text, at)
@@ -279,7 +382,9 @@ def _parse_with_joined_entries(df: DataFrame, field: str, special: DataFrame, in
 
     @F.arrow_udf(_SQL_TYPE)
     def parse(texts: pa.Array, listed: pa.Array) -> pa.Array:
-        return _as_lists([Parser(own or []).parse(text) for text, own in zip(texts.to_pylist(), listed.to_pylist())])
+        lists = [tuple(sorted(own or ())) for own in listed.to_pylist()]
+        parsers = {own: Parser(list(own)) for own in set(lists)}
+        return _as_lists([parsers[own].parse(text) for text, own in zip(texts.to_pylist(), lists)])
 
     texts = df.select(F.col(field).alias("_text")).where(F.col("_text").isNotNull()).distinct()
     listed = (

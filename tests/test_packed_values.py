@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -41,6 +43,29 @@ def test_malformed_values_are_flagged():
     assert PARSER.parse("A; B")[0] == ("A", None)
 
 
+MALFORMED = [
+    "[a;" * 20_000, "[" * 100_000, "'a;" * 20_000, "“a;" * 30_000, "['" * 40_000, '"' * 100_000, "\\" * 100_000, "- " * 50_000, "(1) " * 30_000, "<br" + " " * 100_000,
+    "[" * 20_000 + "A" + "]" * 20_000, "\"'" * 20_000 + ";" + "'\"" * 20_000, "{([" * 10_000 + "a;" + "])}" * 10_000, "[Codes " * 20_000, " " * 100_000 + "[" + " " * 100_000,
+]
+
+
+@pytest.mark.parametrize("text", MALFORMED, ids=range(len(MALFORMED)))
+def test_malformed_fields_take_linear_time(text):
+    began = time.process_time()
+    PARSER.parse(text)
+    assert time.process_time() - began < 3  # a tenth of it on an idle machine
+
+
+@pytest.mark.parametrize("text", ["Terms", "Available", "No", "MeSH", "indexed"])
+def test_single_words_of_placeholders_are_values(text):
+    assert PARSER.parse(text) == [(text, None)]
+
+
+def test_nested_brackets_and_quotes():
+    assert [v for v, _ in PARSER.parse("[[A; [B]]; \"'C'\"]; D")] == ["A", "B", "'C'", "D"]
+    assert PARSER.parse("[" * 20_000 + "A" + "]" * 20_000) == [("A", None)]
+
+
 def test_long_field():
     assert len(PARSER.parse("; ".join(f"term {i}" for i in range(50_000)))) == 50_000
     assert PARSER.parse("x" * 500_000) == [("x" * 500_000, None)]
