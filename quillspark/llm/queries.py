@@ -87,14 +87,9 @@ def p7_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.remove_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
-def _common_words(spark: SparkSession, sf_dir: str) -> list[str]:
-    best = table(spark, sf_dir, "common_words").where("word is not null").groupBy(F.lower("word").alias("word")).agg(F.min("word_rank").alias("rank"))
-    return [r.word for r in best.orderBy("rank", "word").limit(text_quality.MAX_COMMON_WORDS).collect()]
-
-
 def p8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics, failed rules and kind of every document."""
-    judged = text_quality.text_quality(table(spark, sf_dir, "documents"), "doc_id", "text", _common_words(spark, sf_dir))
+    judged = text_quality.text_quality(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "common_words"))
     return judged.withColumnRenamed("id", "doc_id")
 
 

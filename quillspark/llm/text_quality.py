@@ -1,152 +1,297 @@
-"""Statistics of each text, and by fixed thresholds whether it is prose, a list, a table or junk.
+"""Statistics of each text, published threshold rules, and whether it is prose, a list, a table or junk.
 
-All statistics are built-in column expressions, computed over the whole text in one pass
-without a shuffle. Each threshold that a text fails is recorded as a reason.
+All statistics of a batch of texts are made together by vectorized functions: characters by a
+table of Unicode classes, lines, words and cells by a pattern matcher that takes linear time,
+whatever the text. Each rule that a text fails is recorded as a reason.
 """
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Common words sent with the expressions at most; a longer list is cut to its best ranks by the caller.
-MAX_COMMON_WORDS = 10_000
+#: Common words that travel with the tasks at most; of a longer list each text is joined with its own.
+MAX_SHIPPED_WORDS = 500_000
 
-# Fixed patterns. Each repetition is anchored or bounded, so that no text takes more than linear time.
-_FIGURE = r"(?:[<>=~]?[-+]?\d[\d.,]*\d?\s?%?(?:\s?(?:±|\+/-)\s?\d[\d.,]*)?|ns|n/?a|-|–)"
-_GAP = r"(?:\s{0,40}[\t;,|/]\s{0,40}|\s{2,40})"
-TABLE_ROW = rf"(?i)^\s*\|?\s*[^\t|;]*?[^\s\t|;,:/]\s{{0,40}}(?:[\t;,|:]\s{{0,40}}|\s{{2,40}}){_FIGURE}(?:{_GAP}{_FIGURE})+\s*\|?\s*$"
+# Fixed patterns.
+FIGURE = r"(?:[<>=~]?[-+]?\d[\d.,]*\s?%?(?:\s?(?:±|\+/-)\s?\d[\d.,]*)?|(?i:ns|n/?a)|-|–)"
+CELL_GAP = r"\s*[\t;,|:]\s*|\s+/\s+|\s{2,}"
 BULLET = r"^\s*(?:[-*•‣▪–+]|\(?(?:\d{1,3}|[a-z])[.)])\s+\S"
 CONTENTS = r"\.{4}\s{0,9}\d{1,6}\W{0,9}$"
 REFERENCE = r"\b(?:19|20)\d\d\s{0,3};\s{0,3}\d{1,6}.{0,20}:\s{0,3}\d"
 INNER_SENTENCE = r"\p{Ll}{2}\)?[.!?]\s{1,9}\p{Lu}"
-FINISHED = r"[\p{Ll}\d%)]{2}[.!?](?=\s|$)"
+FINISHED = r"[\p{Ll}\d%)]{2}[.!?](?:\s|$)"
 SENTENCE_END = r"[.!?][\"')\]»”]{0,5}$"
-MENU = r"(?i)(?<=^|[|\n]|\s{2}|[|\n]\s)(?:home|login|log in|sign up|share|print|menu|rss|top \^|<< back|next >>|cart \(\d+\)|subscribe|cookie settings|© all rights|search|contact|sitemap)(?=$|[|\n]|\s{2}|\s[|\n]|\s$)"
 MOJIBAKE = r"Ã.|â€|ï»¿|Â[°-¿]|�|□"
-TAG = r"<[^<>]{1,200}>"
+TAG = r"<[^<>]+>"
 HEX_LINE = r"(?i)^\s*[0-9a-f]{8}\s(?:\s*[0-9a-f]{2}){4,}"
+LINE_BREAK = r"\r\n|[\n\r\x{85}\x{2028}]"
+SEGMENT_BREAK = r"[\n\r\x{85}\x{2028}|\t]|\s{2,}"
+TOKEN_BREAK = r"[^\p{L}\p{N}'’-]+"
+
+#: Published thresholds: the quality and repetition rules of Rae et al. 2021 (gopher) and the
+#: line rules of Penedo et al. 2024 (fineweb).
+PUBLISHED = {
+    "gopher_words_min": 50, "gopher_words_max": 100_000, "gopher_mean_word_min": 3.0, "gopher_mean_word_max": 10.0, "gopher_symbols_max": 0.1, "gopher_bullets_max": 0.9,
+    "gopher_ellipsis_max": 0.3, "gopher_alphabetic_min": 0.8, "gopher_stop_words_min": 2, "gopher_duplicates_max": 0.3, "gopher_duplicate_chars_max": 0.2,
+    "fineweb_punctuation_min": 0.12, "fineweb_short_lines_max": 0.67,
+}
+#: Thresholds of this module's own rules, for what the published ones cannot tell: short texts, lists, tables, encodings.
+OWN = {
+    "letters_min": 0.5, "mojibake_max": 0.02, "tags_max": 0.3, "hex_max": 0.5, "words_min": 8, "word_max": 60, "repeats_min": 6.0, "repeated_words_max": 12, "common_min": 0.09, "segments_min": 4,
+    "table_min": 0.4, "entries_min": 0.5, "entry_common_max": 0.2, "entry_words_max": 14, "short_entry_words_max": 5, "inline_parts_min": 4, "inline_words_max": 7,
+    "sentence_rate_max": 0.02, "entries_count_min": 3, "unfinished_lines_min": 4, "unfinished_words_max": 9, "list_common_max": 0.15,
+}
+
+_STATISTICS = {
+    "n_chars": "long", "n_words": "long", "mean_word_len": "double", "max_word_len": "long", "symbol_share": "double", "letter_share": "double", "n_lines": "long", "end_punct_share": "double",
+    "bullet_share": "double", "ellipsis_share": "double", "short_line_share": "double", "alphabetic_share": "double", "symbol_word_ratio": "double", "common_words": "long", "common_share": "double",
+    "distinct_share": "double", "duplicate_share": "double", "duplicate_char_share": "double", "n_segments": "long", "table_share": "double", "entry_share": "double", "marked_share": "double", "sentence_rate": "double",
+    "mojibake_share": "double", "tag_share": "double", "hex_share": "double",
+}
+
+
+def character_classes() -> np.ndarray:
+    """Of each code point 1 for a letter, 2 for a digit or other number, 3 for white space, else 0."""
+    classes = np.zeros(0x110000, np.uint8)
+    classes[:0x20000] = [{"L": 1, "N": 2}.get(unicodedata.category(chr(c))[0], 0) for c in range(0x20000)]
+    classes[0x20000:0x32400] = 1  # further ideographs
+    classes[[9, 10, 11, 12, 13, 32, 160]] = 3
+    return classes
+
+
+class _Parts:
+    """The parts into which a pattern, or white space, cuts texts, without empty ones, and the text of each."""
+
+    def __init__(self, texts: pa.Array, pattern: str | None = None):
+        lists = pc.split_pattern_regex(texts, pattern) if pattern else pc.utf8_split_whitespace(texts)
+        self.count, self.values = len(texts), lists.flatten()
+        self.parent = np.repeat(np.arange(self.count), np.diff(np.asarray(lists.offsets)))
+        self.sizes = pc.utf8_length(self.values).to_numpy()
+        self.keep(self.sizes > 0)
+
+    def keep(self, good: np.ndarray) -> None:
+        self.values, self.parent, self.sizes = self.values.filter(pa.array(good)), self.parent[good], self.sizes[good]
+
+    def per_text(self, weights: np.ndarray | None = None) -> np.ndarray:
+        return np.bincount(self.parent, weights, self.count)
+
+    def has(self, pattern: str) -> np.ndarray:
+        return pc.match_substring_regex(self.values, pattern).to_numpy(zero_copy_only=False)
+
+    def distinct(self) -> np.ndarray:
+        """The first of each text's equal parts."""
+        codes = self.values.dictionary_encode().indices.to_numpy()
+        _, first = np.unique(self.parent * (int(codes.max(initial=0)) + 1) + codes, return_index=True)
+        return first
+
+
+def _share(part: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    return np.divide(part, whole, out=np.zeros(len(whole)), where=whole > 0)
+
 
-#: Thresholds of the rules.
-LIMITS = {
-    "letters_min": 0.5, "menu_max": 0.3, "mojibake_max": 0.02, "tags_max": 0.3, "hex_max": 0.5, "word_max": 60, "long_words_max": 0.5,
-    "repeats_min": 6.0, "repeated_words_max": 12, "mean_word_min": 2.0, "common_min": 0.09, "table_min": 0.4, "entries_min": 0.5, "entry_common_max": 0.2,
-    "entry_words_max": 14, "short_entry_words_max": 5, "inline_parts_min": 4, "inline_words_max": 7, "sentence_rate_max": 0.02, "entries_count_min": 3, "unfinished_lines_min": 4, "unfinished_words_max": 9, "list_common_max": 0.15,
-}
+def _rows(lines: _Parts) -> np.ndarray:
+    """Which lines are a label followed by two or more figures, in cells of their own."""
+    rows = np.zeros(len(lines.values), bool)
+    ending = lines.has(FIGURE + r"\s*\|?\s*$")
+    cells = _Parts(lines.values.filter(pa.array(ending)), CELL_GAP)
+    if len(cells.values):
+        figures = cells.has(rf"^\s*{FIGURE}\s*$")
+        last_label = np.full(cells.count, -1)
+        places = np.flatnonzero(~figures)
+        last_label[cells.parent[places]] = places
+        behind = np.cumsum(cells.per_text()).astype(int) - 1 - last_label
+        rows[ending] = (last_label >= 0) & (behind >= 2) & (behind >= cells.per_text(~figures))
+    return rows
 
 
-def _share(part: Column, whole: Column) -> Column:
-    return F.coalesce(part / F.nullif(whole.cast("double"), F.lit(0.0)), F.lit(0.0))
+def _measure(texts: pa.Array, known, classes: np.ndarray) -> dict[str, np.ndarray]:
+    """The statistics of a batch; `known` tells which tokens, of which texts, are common words."""
+    count = len(texts)
+    n_chars = pc.utf8_length(texts).to_numpy().astype(np.int64)
+    codes = np.frombuffer("".join(texts.to_pylist()).encode("utf-32-le"), np.uint32)
+    kinds, owner = classes[codes], np.repeat(np.arange(count, dtype=np.int32), n_chars)
+    letters, spaces = np.bincount(owner, kinds == 1, count), np.bincount(owner, kinds == 3, count)
+    symbols, solid = np.bincount(owner, kinds == 0, count), n_chars - spaces
 
+    words = _Parts(texts)
+    n_words = words.per_text().astype(np.int64)
+    longest = np.zeros(count, np.int64)
+    if len(words.sizes):
+        longest[n_words > 0] = np.maximum.reduceat(words.sizes, (np.cumsum(n_words) - n_words)[n_words > 0])
 
-def _removed(text: Column, pattern: str) -> Column:
-    """How many characters the pattern matches in all."""
-    return F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
+    lines = _Parts(texts, LINE_BREAK)
+    lines.keep(lines.has(r"\S"))
+    tokens = _Parts(pc.utf8_lower(lines.values), TOKEN_BREAK)
+    line_words, line_of = tokens.per_text(), tokens.parent
+    tokens.parent, tokens.count = lines.parent[line_of], count
+    common = known(tokens.values, tokens.parent)
+    line_common = np.bincount(line_of, common, len(lines.values))
+    n_lines, n_tokens = lines.per_text(), tokens.per_text()
+    lines.values = pc.utf8_rtrim(lines.values, " ")
 
+    row, bullet, ended = _rows(lines), lines.has(BULLET), lines.has(SENTENCE_END)
+    marked = bullet | lines.has(CONTENTS) | lines.has(REFERENCE)
+    parts = pc.count_substring_regex(lines.values, r"[;,•|]\s").to_numpy() + 1
+    short = (line_words <= OWN["entry_words_max"]) & ~ended
+    bare = short & ((line_common <= OWN["entry_common_max"] * line_words) | (line_words <= OWN["short_entry_words_max"]))
+    inline = (parts >= OWN["inline_parts_min"]) & (line_words <= OWN["inline_words_max"] * parts)
+    inline[inline] = ~pc.match_substring_regex(lines.values.filter(pa.array(inline)), INNER_SENTENCE).to_numpy(zero_copy_only=False)
+    entry = ~row & (marked | inline | ((n_lines >= OWN["entries_count_min"])[lines.parent] & bare))
+    held = lines.per_text(lines.sizes)
 
-def _is_in(common: list[str]):
-    return (lambda w: w.isin(common)) if common else (lambda w: F.lit(False))
+    segments = _Parts(texts, SEGMENT_BREAK)
+    n_segments, first = segments.per_text(), segments.distinct()
+    tagged = texts if not pc.any(pc.match_substring(texts, "<")).as_py() else pc.replace_substring_regex(texts, TAG, "")
+    hashes = pc.count_substring_regex(texts, r"#|\.\.\.|…").to_numpy()
+    result = {
+        "n_chars": n_chars,
+        "n_words": n_words,
+        "mean_word_len": _share(words.per_text(words.sizes), n_words),
+        "max_word_len": longest,
+        "symbol_share": _share(symbols, solid),
+        "letter_share": _share(letters, solid),
+        "n_lines": n_lines,
+        "end_punct_share": _share(lines.per_text(ended), n_lines),
+        "bullet_share": _share(lines.per_text(bullet), n_lines),
+        "ellipsis_share": _share(lines.per_text(lines.has(r"(?:\.\.\.|…)$")), n_lines),
+        "short_line_share": _share(lines.per_text(lines.sizes < 30), n_lines),
+        "alphabetic_share": _share(words.per_text(words.has(r"\p{L}")), n_words),
+        "symbol_word_ratio": _share(hashes, n_words),
+        "common_words": np.bincount(tokens.parent, common, count),
+        "common_share": _share(np.bincount(tokens.parent, common, count), n_tokens),
+        "distinct_share": _share(np.bincount(tokens.parent[tokens.distinct()], minlength=count), n_tokens),
+        "duplicate_share": _share(n_segments - np.bincount(segments.parent[first], minlength=count), n_segments),
+        "duplicate_char_share": _share(segments.per_text(segments.sizes) - np.bincount(segments.parent[first], segments.sizes[first], count), n_chars),
+        "n_segments": n_segments,
+        "table_share": _share(lines.per_text(lines.sizes * row), held),
+        "entry_share": _share(lines.per_text(lines.sizes * entry), held),
+        "marked_share": _share(lines.per_text(lines.sizes * marked), held),
+        "sentence_rate": _share(pc.count_substring_regex(texts, FINISHED).to_numpy(), n_words),
+        "mojibake_share": _share(pc.count_substring_regex(texts, MOJIBAKE).to_numpy(), solid),
+        "tag_share": _share(n_chars - pc.utf8_length(tagged).to_numpy(), n_chars),
+        "hex_share": _share(lines.per_text(lines.sizes * lines.has(HEX_LINE)), held),
+    }
+    return result
 
 
-def text_statistics(df: DataFrame, id_col: str, text_col: str, common_words: list[str]) -> DataFrame:
-    """One row of statistics per text; nothing divides by zero, a null text counts as empty."""
-    known = _is_in(common_words[:MAX_COMMON_WORDS])
+def _slices(texts: pa.Array, most_bytes: int = 1 << 23) -> Iterator[tuple[int, int]]:
+    """First row and number of rows of slices that hold about so many bytes each, one text at least."""
+    sizes = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64))
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most_bytes, side="right")))
+        yield at, end - at
+        at = end
 
-    def words(line: Column) -> Column:
-        return F.filter(F.split(F.lower(line), r"[^\p{L}\p{N}'’-]+"), lambda w: w != "")
 
-    def measured(x: Column) -> Column:
-        line, own = F.rtrim(x["line"]), x["own"]
-        return F.struct(
-            F.length(x["line"]).alias("size"),
-            F.size(own).alias("n"),
-            F.size(F.filter(own, known)).alias("common"),
-            line.rlike(TABLE_ROW).alias("row"),
-            line.rlike(BULLET).alias("bullet"),
-            (line.rlike(BULLET) | line.rlike(CONTENTS) | line.rlike(REFERENCE)).alias("marked"),
-            line.rlike(SENTENCE_END).alias("ended"),
-            line.rlike(HEX_LINE).alias("hex"),
-            (F.regexp_count(line, F.lit(r"[;,•|]\s")) + 1).alias("parts"),
-            line.rlike(INNER_SENTENCE).alias("sentences"),
-        )
+def _as_struct(statistics: dict[str, np.ndarray]) -> pa.StructArray:
+    kinds = {"long": np.int64, "double": np.float64}
+    return pa.StructArray.from_arrays([pa.array(statistics[name].astype(kinds[kind])) for name, kind in _STATISTICS.items()], list(_STATISTICS))
 
-    def entry(x: Column) -> Column:
-        """A separate entry: marked as one, a row of short parts, or a short line without a sentence among others."""
-        short = (x["n"] <= LIMITS["entry_words_max"]) & ~x["ended"]
-        bare = short & ((x["common"] <= LIMITS["entry_common_max"] * x["n"]) | (x["n"] <= LIMITS["short_entry_words_max"]))
-        inline = (x["parts"] >= LIMITS["inline_parts_min"]) & (x["n"] <= LIMITS["inline_words_max"] * x["parts"]) & ~x["sentences"]
-        return ~x["row"] & (x["marked"] | inline | ((F.size("lines") >= LIMITS["entries_count_min"]) & bare))
 
-    def total(part) -> Column:
-        return F.aggregate("lines", F.lit(0), lambda n, x: n + part(x))
+_SQL_TYPE = "struct<" + ",".join(f"{name}:{kind}" for name, kind in _STATISTICS.items()) + ">"
 
-    def size_where(test) -> Column:
-        return _share(total(lambda x: F.when(test(x), x["size"]).otherwise(0)), total(lambda x: x["size"]))
 
-    def count_where(test) -> Column:
-        return _share(total(lambda x: F.when(test(x), 1).otherwise(0)), F.size("lines"))
+def text_statistics(df: DataFrame, id_col: str, text_col: str, common_words: DataFrame, word_col: str = "word", max_shipped: int = MAX_SHIPPED_WORDS) -> DataFrame:
+    """One row of statistics per text; nothing divides by zero, a null text counts as empty.
 
-    # step by step, so that each step's arrays are made once
+    Up to `max_shipped` common words travel with the tasks; of a longer list each text gets
+    those that it holds, by a join. Both ways give the same statistics.
+    """
     base = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    base = base.withColumn("lines", F.filter(F.split("text", r"\r\n|[\n\r\x{85}\x{2028}]"), lambda x: x.rlike(r"\S")))
-    base = base.withColumn("lines", F.transform("lines", lambda x: F.struct(x.alias("line"), words(x).alias("own"))))
-    base = base.withColumn("words", F.filter(F.split("text", r"[\s\x{A0}]+"), lambda w: w != "")).withColumn("tokens", F.flatten("lines.own"))
-    base = base.withColumn("lines", F.transform("lines", measured))
-    base = base.withColumn("solid", F.aggregate("words", F.lit(0), lambda n, w: n + F.length(w)))
-    t, solid = F.col("text"), F.col("solid")
-    statistics = [
-        F.length(t).alias("n_chars"),
-        F.size("words").alias("n_words"),
-        _share(solid, F.size("words")).alias("mean_word_len"),
-        F.coalesce(F.array_max(F.transform("words", F.length)), F.lit(0)).alias("max_word_len"),
-        _share(F.aggregate(F.filter("words", lambda w: F.length(w) > 30), F.lit(0), lambda n, w: n + F.length(w)), solid).alias("long_word_share"),
-        _share(_removed(t, r"[^\p{L}\p{N}\s\x{A0}]+"), solid).alias("symbol_share"),
-        _share(_removed(t, r"\p{L}+"), solid).alias("letter_share"),
-        F.size("lines").alias("n_lines"),
-        count_where(lambda x: x["ended"]).alias("end_punct_share"),
-        count_where(lambda x: x["bullet"]).alias("bullet_share"),
-        _share(total(lambda x: x["common"]), F.size("tokens")).alias("common_share"),
-        _share(F.size(F.array_distinct("tokens")), F.size("tokens")).alias("distinct_share"),
-        size_where(lambda x: x["row"]).alias("table_share"),
-        size_where(entry).alias("entry_share"),
-        size_where(lambda x: x["marked"]).alias("marked_share"),
-        _share(F.regexp_count(t, F.lit(FINISHED)), F.size("words")).alias("sentence_rate"),
-        _share(_removed(t, MENU), F.length(t)).alias("menu_share"),
-        _share(F.regexp_count(t, F.lit(MOJIBAKE)), solid).alias("mojibake_share"),
-        _share(_removed(t, TAG), F.length(t)).alias("tag_share"),
-        size_where(lambda x: x["hex"]).alias("hex_share"),
-    ]
-    # through a generator, as a filter on the kind would otherwise be pushed below and compute all of it again
-    return base.select("id", F.inline(F.array(F.struct(*statistics))))
-
-
-def _reasons() -> Column:
-    c, limit = F.col, LIMITS
-    table = c("table_share") >= limit["table_min"]
-    rules = {
+    listed = common_words.select(F.lower(word_col).alias("word")).where("word is not null").distinct()
+    shipped = [r.word for r in listed.limit(max_shipped + 1).collect()]
+    if len(shipped) > max_shipped:
+        return _with_joined_words(base, listed)
+
+    @F.arrow_udf(_SQL_TYPE)
+    def measure(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        classes, words = character_classes(), pa.array(shipped, pa.string())
+        for batch in batches:
+            parts = [_measure(batch.slice(*rows), lambda tokens, _: pc.is_in(tokens, words).to_numpy(zero_copy_only=False), classes) for rows in _slices(batch)]
+            yield _as_struct({name: np.concatenate([p[name] for p in parts]) if parts else np.zeros(0) for name in _STATISTICS})
+
+    # not deterministic in name only: else a filter on the kind would compute all of it again
+    return base.select("id", measure.asNondeterministic()("text").alias("s")).select("id", "s.*")
+
+
+def _with_joined_words(base: DataFrame, listed: DataFrame) -> DataFrame:
+    @F.arrow_udf("array<string>")
+    def tokens_of(texts: pa.Array) -> pa.Array:
+        tokens = _Parts(pc.utf8_lower(texts), TOKEN_BREAK)
+        kept = np.sort(tokens.distinct())
+        offsets = np.r_[0, np.cumsum(np.bincount(tokens.parent[kept], minlength=len(texts)))]
+        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), tokens.values.take(pa.array(kept)))
+
+    @F.arrow_udf(_SQL_TYPE)
+    def measure(texts: pa.Array, words: pa.Array) -> pa.Array:
+        own = pc.fill_null(words, pa.scalar([], words.type))
+        pairs = {(i, w) for i, list_ in enumerate(own.to_pylist()) for w in list_}
+        return _as_struct(_measure(texts, lambda tokens, parent: np.array([p in pairs for p in zip(parent.tolist(), tokens.to_pylist())], bool), character_classes()))
+
+    texts = base.select("text").distinct().withColumn("key", F.md5("text"))
+    held = texts.select("key", F.explode(tokens_of("text")).alias("word")).join(listed, "word").groupBy("key").agg(F.collect_set("word").alias("words"))
+    joined = base.withColumn("key", F.md5("text")).join(held, "key", "left")
+    return joined.select("id", measure.asNondeterministic()("text", "words").alias("s")).select("id", "s.*")
+
+
+def published_rules() -> dict[str, Column]:
+    """The published rules, each a test of a text that fails it."""
+    c, limit = F.col, PUBLISHED
+    return {
+        "gopher_word_count": ~c("n_words").between(limit["gopher_words_min"], limit["gopher_words_max"]),
+        "gopher_mean_word_length": ~c("mean_word_len").between(limit["gopher_mean_word_min"], limit["gopher_mean_word_max"]),
+        "gopher_symbols": c("symbol_word_ratio") > limit["gopher_symbols_max"],
+        "gopher_bullets": c("bullet_share") > limit["gopher_bullets_max"],
+        "gopher_ellipsis": c("ellipsis_share") > limit["gopher_ellipsis_max"],
+        "gopher_alphabetic_words": c("alphabetic_share") < limit["gopher_alphabetic_min"],
+        "gopher_stop_words": c("common_words") < limit["gopher_stop_words_min"],
+        "gopher_duplicates": c("duplicate_share") > limit["gopher_duplicates_max"],
+        "gopher_duplicate_chars": c("duplicate_char_share") > limit["gopher_duplicate_chars_max"],
+        "fineweb_line_punctuation": c("end_punct_share") <= limit["fineweb_punctuation_min"],
+        "fineweb_short_lines": c("short_line_share") >= limit["fineweb_short_lines_max"],
+    }
+
+
+def kind_rules() -> dict[str, Column]:
+    """The rules that decide a text's kind, in their order: published ones where they can tell, else own ones."""
+    c, own, rule = F.col, OWN, published_rules()
+    table, some, entries = c("table_share") >= own["table_min"], c("n_words") >= own["words_min"], c("entry_share") >= own["entries_min"]
+    return {
         "junk:blank": c("n_words") == 0,
-        "junk:few_letters": (c("letter_share") < limit["letters_min"]) & ~table & (c("marked_share") < limit["entries_min"]),
-        "junk:hex": c("hex_share") > limit["hex_max"],
-        "junk:mojibake": c("mojibake_share") > limit["mojibake_max"],
-        "junk:markup": c("tag_share") > limit["tags_max"],
-        "junk:menu": c("menu_share") > limit["menu_max"],
-        "junk:spaced": (c("mean_word_len") < limit["mean_word_min"]) & (c("n_words") >= 8) & ~table,
-        "junk:long_words": (c("long_word_share") > limit["long_words_max"]) & ~table,
-        "junk:repeated": (c("distinct_share") * limit["repeats_min"] <= 1) & (c("distinct_share") * c("n_words") <= limit["repeated_words_max"]) & ~table,
-        "junk:no_common_words": (c("common_share") < limit["common_min"]) & (c("n_words") >= 8) & ~table & (c("entry_share") < limit["entries_min"]),
+        "junk:few_letters": (c("letter_share") < own["letters_min"]) & ~table & (c("marked_share") < own["entries_min"]),
+        "junk:hex": c("hex_share") > own["hex_max"],
+        "junk:mojibake": c("mojibake_share") > own["mojibake_max"],
+        "junk:markup": c("tag_share") > own["tags_max"],
+        "junk:gopher_mean_word_length": rule["gopher_mean_word_length"] & (some | (c("mean_word_len") > own["word_max"])) & ~table,
+        "junk:gopher_duplicates": rule["gopher_duplicates"] & (c("n_segments") >= own["segments_min"]) & (c("end_punct_share") == 0) & (c("marked_share") < own["entries_min"]) & ~table,
+        "junk:repeated_words": (c("distinct_share") * own["repeats_min"] <= 1) & (c("distinct_share") * c("n_words") <= own["repeated_words_max"]) & ~table,
+        "junk:no_common_words": (c("common_share") < own["common_min"]) & some & ~table & ~entries,
         "table:rows": table,
-        "list:unfinished_lines": (c("n_lines") >= limit["unfinished_lines_min"]) & (c("sentence_rate") == 0) & (c("end_punct_share") == 0) & (c("n_words") <= limit["unfinished_words_max"] * c("n_lines")),
-        "list:entries": (c("entry_share") >= limit["entries_min"]) & ((c("marked_share") >= limit["entries_min"]) | (c("sentence_rate") < limit["sentence_rate_max"]) | (c("common_share") < limit["list_common_max"])),
+        "list:unfinished_lines": (c("n_lines") >= own["unfinished_lines_min"]) & (c("sentence_rate") == 0) & (c("end_punct_share") == 0) & (c("n_words") <= own["unfinished_words_max"] * c("n_lines")),
+        "list:entries": entries & ((c("marked_share") >= own["entries_min"]) | (c("sentence_rate") < own["sentence_rate_max"]) | (c("common_share") < own["list_common_max"])),
     }
+
+
+def _failed(rules: dict[str, Column]) -> Column:
     return F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in rules.items()]))
 
 
-def text_quality(df: DataFrame, id_col: str, text_col: str, common_words: list[str]) -> DataFrame:
-    """The statistics with `reasons`, the rules failed in order, and `kind`.
+def text_quality(df: DataFrame, id_col: str, text_col: str, common_words: DataFrame, word_col: str = "word", max_shipped: int = MAX_SHIPPED_WORDS) -> DataFrame:
+    """The statistics with `published`, the published rules failed, `reasons`, the deciding rules failed, and `kind`.
 
-    kind is `junk`, `table` or `list` by the first rule failed, else `prose`. One row per
+    kind is `junk`, `table` or `list` by the first of `reasons`, else `prose`. One row per
     input row, also for repeated ones; a null text is judged like an empty one (junk); texts
-    of any length are read whole; other columns are ignored.
+    of any length are read whole; other columns are ignored; an empty list of common words
+    leaves every word uncommon.
     """
-    judged = text_statistics(df, id_col, text_col, common_words).withColumn("reasons", _reasons())
+    judged = text_statistics(df, id_col, text_col, common_words, word_col, max_shipped)
+    judged = judged.withColumn("published", _failed(published_rules())).withColumn("reasons", _failed(kind_rules()))
     return judged.withColumn("kind", F.coalesce(F.split(F.get("reasons", F.lit(0)), ":")[0], F.lit("prose")))

@@ -1,5 +1,7 @@
 import numpy as np
 
+import pytest
+
 from quillspark.llm.text_quality import text_quality
 
 COMMON = "the of and to in a is was for with that on we by this it".split()
@@ -12,7 +14,10 @@ KINDS = {
     "Group\tAge\tDose\nplacebo\t12.5\t33%\ndrug\t9 ± 2\t41\nboth\tns\t7": "table",
     "| a | 1 | 2 |\n|---|---|---|\n| b | 3.5 | n/a |": "table",
     "": "junk", None: "junk", "  \n ": "junk", "---": "junk", "!!!!!": "junk",
-    "Home | Login | Share | Print | Home | Menu": "junk",
+    "Home | Login | Share | Home | Print | Login | Home | Menu": "junk",
+    "page not found\npage not found\npage not found\npage not found": "junk",
+    "a group: 12.5 / 33%\nb group: ns / 4 ± 2\nc group: 7 / n/a": "table",
+    "Q" * 200: "junk",
     "<div><span id=a1></span></div><div><span id=a2></span></div>": "junk",
     "xkq zzrt vprl qqwx bnmk lkjh trwq pzxc vbnq wrtk": "junk",
     "T h e _ b u r d e n _ o f _ i t _ a l l": "junk",
@@ -20,9 +25,14 @@ KINDS = {
 }
 
 
-def test_quality_kinds(spark):
+def common(spark, listed):
+    return spark.createDataFrame([(w,) for w in listed], "word string")
+
+
+@pytest.mark.parametrize("shipped", [1000, 2])
+def test_quality_kinds(spark, shipped):
     df = spark.createDataFrame([(i, t, "x", 1.0) for i, t in enumerate(KINDS)] + [(0, next(iter(KINDS)), "x", 1.0)], "id long, text string, kind string, n_words double")
-    got = text_quality(df, "id", "text", COMMON).toPandas()
+    got = text_quality(df, "id", "text", common(spark, [*COMMON, None, "The"]), max_shipped=shipped).toPandas()
     assert len(got) == len(KINDS) + 1 and not got.isna().any().any()
     found = {r.id: r.kind for r in got.itertuples()}
     assert {t: found[i] for i, t in enumerate(KINDS)} == KINDS
@@ -36,6 +46,26 @@ def test_quality_kinds(spark):
 def test_quality_of_long_and_no_texts(spark):
     long = "We asked for the answer and it was given to us in time. " * 20_000
     df = spark.createDataFrame([(1, long), (2, "x" * 1_000_000)], "id long, text string")
-    assert {r.id: r.kind for r in text_quality(df, "id", "text", COMMON).collect()} == {1: "prose", 2: "junk"}
-    assert text_quality(df.limit(0), "id", "text", COMMON).count() == 0
-    assert text_quality(df, "id", "text", []).count() == 2
+    assert {r.id: r.kind for r in text_quality(df, "id", "text", common(spark, COMMON)).collect()} == {1: "prose", 2: "junk"}
+    assert text_quality(df.limit(0), "id", "text", common(spark, COMMON)).count() == 0
+    assert text_quality(df, "id", "text", common(spark, [])).count() == 2
+
+
+@pytest.mark.parametrize("text", ["a: " + "1," * 50_000 + "x", "a: " + "1  " * 30_000 + "x", "<" * 100_000, "(1) " * 25_000, ". " * 50_000, "2001; 1" * 15_000, "n/a / " * 20_000, "\t" * 100_000 + "1"])
+def test_long_lines_take_linear_time(text):
+    import time
+
+    import pyarrow as pa
+
+    from quillspark.llm.text_quality import _measure, character_classes
+
+    classes, began = character_classes(), time.process_time()
+    _measure(pa.array([text]), lambda tokens, _: np.zeros(len(tokens), bool), classes)
+    assert time.process_time() - began < 2
+
+
+def test_published_rules_are_recorded(spark):
+    df = spark.createDataFrame([(1, "Short text of the kind."), (2, "- a\n- b\n- c..."), (3, "We asked for the answer and it was given to us in time. " * 10)], "id long, text string")
+    failed = {r.id: set(r.published) for r in text_quality(df, "id", "text", common(spark, COMMON)).collect()}
+    assert failed[1] == {"gopher_word_count", "fineweb_short_lines"} and not failed[3]
+    assert {"gopher_bullets", "gopher_ellipsis", "gopher_symbols", "gopher_alphabetic_words", "fineweb_line_punctuation"} - failed[2] == {"fineweb_line_punctuation"}
