@@ -25,16 +25,21 @@ def _pairs(baskets: DataFrame) -> DataFrame:
 
 
 def _block_pairs(baskets: DataFrame, spread: int) -> DataFrame:
-    """The same for baskets of any size: every two blocks of a basket form a row of their own."""
-    large = baskets.where(F.size("items") > BLOCK)
+    """The same for baskets of any size: every two blocks of a basket meet in a row of their own.
+
+    Only the numbers of the blocks are paired in the basket's own task; they are spread before
+    the blocks join them.
+    """
     starts = F.sequence(F.lit(1), F.size("items"), F.lit(BLOCK))
-    blocks = large.select(F.transform(starts, lambda s: F.slice("items", s, BLOCK)).alias("blocks"))
-    left = blocks.select(F.posexplode("blocks").alias("i", "left"), "blocks")
-    both = left.select("i", "left", F.explode(F.expr("transform(sequence(i, size(blocks) - 1), j -> struct(j, blocks[j] as right))")).alias("other"))
-    both = both.repartition(spread)
-    within = both.where("i = other.j").select(F.posexplode("left").alias("at", "a"), "left")
+    large = baskets.where(F.size("items") > BLOCK).select(F.monotonically_increasing_id().alias("basket"), F.transform(starts, lambda s: F.slice("items", s, BLOCK)).alias("blocks"))
+    numbers = large.select("basket", F.explode(F.sequence(F.lit(0), F.size("blocks") - 1)).alias("i"), (F.size("blocks") - 1).alias("last"))
+    numbers = numbers.select("basket", "i", F.explode(F.sequence("i", "last")).alias("j")).repartition(spread, "basket", "i", "j")
+    left = large.select("basket", F.posexplode("blocks").alias("i", "left"))
+    right = large.select("basket", F.posexplode("blocks").alias("j", "right"))
+    both = numbers.join(left, ["basket", "i"]).join(right, ["basket", "j"])
+    within = both.where("i = j").select(F.posexplode("left").alias("at", "a"), "left")
     within = within.select("a", F.explode(F.array_insert(F.slice("left", F.col("at") + 2, BLOCK), 1, F.lit(None))).alias("b"))
-    across = both.where("i < other.j").select(F.explode("left").alias("a"), "other").select("a", F.explode("other.right").alias("b"))
+    across = both.where("i < j").select(F.explode("left").alias("a"), "right").select("a", F.explode("right").alias("b"))
     return within.unionByName(across).unionByName(large.select(F.lit(None).cast("string").alias("a"), F.lit(None).cast("string").alias("b")))
 
 
@@ -58,5 +63,22 @@ def cooccurrence(df: DataFrame, items_col: str, min_together: int = 1) -> DataFr
     total = sum(r.n for r in counts.where("a is null").collect())  # one row
     together = counts.where("b is not null").selectExpr("a AS item_a", "b AS item_b", "n AS together")
     marked = together.join(items.selectExpr("a AS item_a", "n AS count_a"), "item_a").join(items.selectExpr("a AS item_b", "n AS count_b"), "item_b")
-    lift = F.col("together") * F.lit(total) / (F.col("count_a") * F.col("count_b"))
-    return marked.select("item_a", "item_b", "together", "count_a", "count_b", F.lit(total).alias("total"), lift.alias("lift"), F.log2(lift).alias("pmi"))
+    return with_lift(marked.withColumn("total", F.lit(total)))
+
+
+def with_lift(pairs: DataFrame) -> DataFrame:
+    """Add lift and PMI, in floating point, so that no product of counts overflows."""
+    lift = F.col("together").cast("double") / F.col("count_a") * F.col("total") / F.col("count_b")
+    return pairs.select("item_a", "item_b", "together", "count_a", "count_b", "total", lift.alias("lift"), F.log2(lift).alias("pmi"))
+
+
+def at_least(pairs: DataFrame, share: int, times: int) -> DataFrame:
+    """Pairs in at least one of `share` rows and at least `times` as often as by chance, in exact numbers of any size."""
+
+    def exact(*factors) -> F.Column:
+        product = F.col(factors[0]).cast("decimal(19,0)")
+        for factor in factors[1:]:
+            product = product * (F.lit(factor) if isinstance(factor, int) else F.col(factor)).cast("decimal(19,0)")
+        return product
+
+    return pairs.where((exact("together", share) >= F.col("total")) & (exact("together", "total") >= exact("count_a", "count_b") * F.lit(times)))

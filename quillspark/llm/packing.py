@@ -29,11 +29,11 @@ TOKENIZERS, VOCABULARY = "/opt/tokenizers", "byte_bpe_50k.tiktoken"
 WORDS = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 
 
-def token_counter(folder: str = TOKENIZERS, vocabulary: str = VOCABULARY):
-    """A function that counts the tokens of many texts."""
+def token_counter(ranks: bytes | None = None):
+    """A function that counts the tokens of many texts; `ranks` is the content of a vocabulary file."""
     import tiktoken
 
-    lines = map(bytes.split, (Path(folder) / vocabulary).read_bytes().splitlines())
+    lines = map(bytes.split, (ranks or (Path(TOKENIZERS) / VOCABULARY).read_bytes()).splitlines())
     encoding = tiktoken.Encoding("own", pat_str=WORDS, mergeable_ranks={base64.b64decode(a): int(b) for a, b in lines}, special_tokens={})
 
     def count_all(texts: list[str | None]) -> list[int]:
@@ -86,11 +86,15 @@ def minimum_bin_slack(lengths: np.ndarray, capacity: int) -> np.ndarray:
 
 
 def count_tokens(df: DataFrame, id_col: str, text_col: str, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(row, id, tokens) of each text, `row` a number of its own; a null or empty text has none."""
+    """(row, id, tokens) of each text, `row` a number of its own; a null or empty text has none.
+
+    The driver reads the vocabulary (about a megabyte, fixed) and sends it with the tasks.
+    """
+    ranks = df.sparkSession.sparkContext.broadcast((Path(folder) / vocabulary).read_bytes())
 
     @F.arrow_udf("int")
     def tokens(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        count = token_counter(folder, vocabulary)
+        count = token_counter(ranks.value)
         for batch in batches:
             yield pa.array(count(batch.to_pylist()), pa.int32())
 

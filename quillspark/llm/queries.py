@@ -48,8 +48,7 @@ def p4_together(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs in at least 5 papers and one of 2000, at least four times as often as by chance."""
     pairs = co.cooccurrence(_terms(spark, sf_dir), "terms", min_together=5)
-    kept = pairs.where("2000 * together >= total and together * total >= 4 * count_a * count_b")
-    return kept.selectExpr("item_a AS term_a", "item_b AS term_b")
+    return co.at_least(pairs, 2000, 4).selectExpr("item_a AS term_a", "item_b AS term_b")
 
 
 #: Field, limit and overlap, in code points.

@@ -13,24 +13,25 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from quillspark.session import materialise, shuffle_buckets
 
-#: Stands for "the record itself", so that the records are counted in the same pass.
-_RECORD = "\0record"
+#: Records that are looked at for hot terms.
+HOT_SAMPLE = 20_000
 
 
 class LastSeenCounters:
     """Occurrences, records and last record of each term; records must arrive in order."""
 
     def __init__(self):
-        self.codes: dict[str, int] = {}
+        self.codes: dict[str | None, int] = {}
         self.occurrences = np.zeros(1024, np.int64)
         self.records = np.zeros(1024, np.int64)
         self.last = np.zeros(1024, np.int64)
 
     def add(self, terms: pa.Array, records: np.ndarray) -> None:
-        encoded = terms.dictionary_encode()
+        encoded = terms.dictionary_encode(null_encoding="encode")
         known = np.array([self.codes.setdefault(t, len(self.codes)) for t in encoded.dictionary.to_pylist()], np.int64)
         if not len(known):
             return
@@ -59,15 +60,22 @@ def count_terms(df: DataFrame, record_col: str, terms_col: str, buckets: int | N
     A term named several times in a record adds to `occurrences` each time and to `records`
     once, also where the record's rows are repeated or spread. Null terms and rows without
     a record id are not counted; empty arrays add nothing; an empty table gives no rows.
-    The row of the term chr(0)+"record" counts the records that hold at least one term.
+    The row of the null term counts the records that hold at least one term.
 
-    A hot term does not meet in one task: a token's bucket depends on its term and on its
-    record's share, and the counters of the shares add up.
+    A term's tokens meet in one task, so that a task's counters are those of its own terms. Only
+    the tokens of hot terms, which a sample of records tells, are spread by their record; the
+    counters of their shares add up.
     """
     shares = buckets or shuffle_buckets(df.sparkSession)
     named = df.where(F.col(record_col).isNotNull()).select(F.xxhash64(record_col).alias("record"), F.filter(terms_col, lambda t: t.isNotNull()).alias("terms")).where(F.size("terms") > 0)
-    tokens = named.select("record", F.explode(F.array_append("terms", F.lit(_RECORD))).alias("term"))
-    ordered = tokens.repartition(shares, "term", F.pmod("record", F.lit(shares))).sortWithinPartitions("record")
+    named = materialise(named)  # the sample and the count read it
+    part = F.pmod(F.xxhash64("record", F.lit("hot")), F.lit(max(1, named.count() // HOT_SAMPLE))) == 0
+    sample = named.where(part).select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    sample = sample.select("term", "n", (F.col("n") * shares > F.sum("n").over(W.partitionBy())).alias("hot"))
+    hot = [r.term for r in sample.where("hot").collect()]  # fewer than there are shares
+    tokens = named.select("record", F.explode(F.array_append("terms", F.lit(None))).alias("term"))
+    share = F.when(F.col("term").isNull() | F.col("term").isin(hot), F.pmod("record", F.lit(shares))).otherwise(0)
+    ordered = tokens.repartition(shares, "term", share).sortWithinPartitions("record")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = LastSeenCounters()
@@ -86,6 +94,6 @@ def term_frequencies(df: DataFrame, record_col: str, terms_col: str, min_records
     than `max_share` of all records with a term do, else null; `rare` wins if both hold.
     """
     counts = materialise(count_terms(df, record_col, terms_col, buckets))
-    total = sum(r.records for r in counts.where(F.col("term") == _RECORD).collect())  # one row
+    total = sum(r.records for r in counts.where("term is null").collect())  # one row
     mark = F.when(F.col("records") < min_records, "rare").when(F.col("records") > total * max_share, "common")
-    return counts.where(F.col("term") != _RECORD).select("term", "occurrences", "records", F.lit(total).alias("total_records"), mark.alias("mark"))
+    return counts.where("term is not null").select("term", "occurrences", "records", F.lit(total).alias("total_records"), mark.alias("mark"))

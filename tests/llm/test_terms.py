@@ -45,9 +45,25 @@ def test_pairs(spark, monkeypatch, block):
     assert abs(r.lift - r.together * r.total / (r.count_a * r.count_b)) < 1e-12 and abs(2**r.pmi - r.lift) < 1e-9
 
 
+def test_counts_beyond_the_range_of_their_products(spark):
+    rows = [("a", "b", 9_000_000_000, 10_000_000_000, 10_000_000_000, 40_000_000_000), ("a", "c", 9_999_999_999, 10_000_000_000, 10_000_000_000, 40_000_000_000), ("a", "d", 10_000_000_000, 10_000_000_000, 10_000_000_000, 40_000_000_000)]
+    pairs = spark.createDataFrame(rows, "item_a string, item_b string, together long, count_a long, count_b long, total long")
+    got = {r.item_b: r.lift for r in cooccurrence.with_lift(pairs).collect()}
+    assert abs(got["b"] - 3.6) < 1e-12 and abs(got["d"] - 4) < 1e-12
+    assert [r.item_b for r in cooccurrence.at_least(pairs, 2000, 4).collect()] == ["d"]
+
+
+def test_hot_and_odd_terms(spark):
+    rows = [(i, ["hot"] * 3 + ["\0record", f"r{i}"]) for i in range(300)]
+    got = {r.term: (r.occurrences, r.records, r.mark) for r in term_frequencies(frame(spark, rows), "record", "terms", 3, 0.5, 4).collect()}
+    assert got["hot"] == (900, 300, "common") and got["\0record"] == (300, 300, "common") and got["r7"] == (1, 1, "rare") and len(got) == 302
+
+
 def test_a_large_basket(spark):
     many = [f"i{n:04}" for n in range(500)]
     assert together(frame(spark, [(1, many), (2, many[:3])]), "terms").count() == 500 * 499 // 2
+    two = together(frame(spark, [(1, many), (2, many[:300]), (3, many)]), "terms").groupBy("together").count().collect()
+    assert {r.together: r["count"] for r in two} == {3: 300 * 299 // 2, 2: 500 * 499 // 2 - 300 * 299 // 2}
 
 
 def test_the_registered_pairs_are_all_pairs(spark, sf):
