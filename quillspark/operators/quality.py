@@ -15,9 +15,10 @@ def blank_to_null(column: str | Column) -> Column:
     return F.nullif(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
-def corpus(papers: DataFrame) -> DataFrame:
-    """The columns that the statistics need, empty texts as nulls, inside the expected years."""
-    narrow = papers.where(F.col("file_year").between(FIRST_YEAR, LAST_YEAR) & F.col("condition").isNotNull())
+def corpus(papers: DataFrame, years: list[int] | None = None) -> DataFrame:
+    """The columns that the statistics need, empty texts as nulls, inside the expected years or only the given ones."""
+    wanted = F.col("file_year").between(FIRST_YEAR, LAST_YEAR) if years is None else F.col("file_year").isin(years)
+    narrow = papers.where(wanted & F.col("condition").isNotNull())
     return narrow.select("condition", "file_year", *[blank_to_null(c).alias(c) for c in ("pmid", "title", "abstract", "mesh_terms")])
 
 
@@ -29,16 +30,26 @@ def percent(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole * 100).otherwise(F.lit(0.0))
 
 
-def year_stats(papers: DataFrame) -> DataFrame:
-    """One row of counts and rates per condition and year; null ids count as one value."""
+def year_stats(papers: DataFrame, years: list[int] | None = None) -> DataFrame:
+    """One row of counts and rates per condition and year; null ids count as one value.
+
+    `new_ids` counts a condition's ids in the year in which they first appear, so that their sum
+    is the condition's number of distinct ids: one reading of the papers serves both levels.
+    """
     abstract = F.col("abstract")
-    counts = corpus(papers).groupBy("condition", "file_year").agg(
+    per_id = corpus(papers, years).groupBy("condition", "file_year", "pmid").agg(
         F.count(F.lit(1)).alias("papers"),
         F.count(abstract).alias("abstracts"),
         F.count_if(meaningful(abstract)).alias("meaningful"),
         F.count("mesh_terms").alias("mesh"),
-        (F.count(F.lit(1)) - F.count_distinct("pmid") - F.max(F.col("pmid").isNull().cast("int"))).alias("duplicates"),
-        F.coalesce(F.avg(F.length(abstract)), F.lit(0.0)).alias("avg_abstract_len"),
+        F.sum(F.length(abstract)).alias("length"),
+    )
+    first = F.min("file_year").over(W.partitionBy("condition", "pmid"))
+    counts = per_id.withColumn("new", F.col("pmid").isNotNull() & (F.col("file_year") == first)).groupBy("condition", "file_year").agg(
+        *[F.sum(c).alias(c) for c in ("papers", "abstracts", "meaningful", "mesh")],
+        (F.sum("papers") - F.count(F.lit(1))).alias("duplicates"),
+        F.coalesce(F.sum("length") / F.nullif(F.sum("abstracts"), F.lit(0)), F.lit(0.0)).alias("avg_abstract_len"),
+        F.count_if("new").alias("new_ids"),
     )
     return counts.withColumn("abstract_rate", percent(F.col("abstracts"), F.col("papers"))).withColumn("mesh_rate", percent(F.col("mesh"), F.col("papers")))
 
@@ -74,9 +85,13 @@ def confidence(score: Column) -> Column:
     return F.when(score >= 80, "high").when(score >= 60, "medium").otherwise("low")
 
 
-def condition_stats(papers: DataFrame) -> DataFrame:
-    """Totals, coverage, duplicate rate, issues, outlier years, score and class of each condition."""
-    years = with_outliers(year_stats(papers))
+def condition_stats(papers: DataFrame, years: list[int] | None = None) -> DataFrame:
+    """Totals, coverage, duplicate rate, issues, outlier years, score and class of each condition.
+
+    With `years`, only these are read, and expected.
+    """
+    expected = YEARS if years is None else len(set(years))
+    years = with_outliers(year_stats(papers, years))
     years = years.withColumn("issue", issue(F.col("papers"), F.col("abstract_rate"), F.col("duplicates")))
     totals = years.groupBy("condition").agg(
         F.sum("papers").alias("total_papers"),
@@ -86,10 +101,9 @@ def condition_stats(papers: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("found_years"),
         F.count("issue").alias("quality_issues"),
         F.count_if("outlier").alias("anomalous_years"),
+        F.sum("new_ids").alias("unique_pmids"),
     )
-    unique = corpus(papers).groupBy("condition").agg(F.count_distinct("pmid").alias("unique_pmids"))
-    stats = totals.join(unique, "condition")
-    stats = stats.withColumn("missing_years", F.lit(YEARS) - F.col("found_years")).withColumn("year_coverage", F.col("found_years") / YEARS * 100)
+    stats = totals.withColumn("missing_years", F.lit(expected) - F.col("found_years")).withColumn("year_coverage", F.col("found_years") / expected * 100)
     rate = F.when((F.col("total_papers") > 0) & (F.col("unique_pmids") > 0), (F.col("total_papers") - F.col("unique_pmids")) / F.col("total_papers") * 100).otherwise(0.0)
     stats = stats.withColumn("duplicate_rate", rate)
     score = quality_score(*[F.col(c) for c in ("missing_years", "total_papers", "papers_with_abstracts", "papers_with_mesh", "duplicate_rate", "quality_issues", "anomalous_years")])
@@ -108,6 +122,28 @@ def missing_years(catalog: DataFrame, papers: DataFrame) -> DataFrame:
     return year_grid(catalog).join(found, ["condition", "file_year"], "left_anti")
 
 
+def empty_years(completeness: DataFrame, missing: DataFrame) -> DataFrame:
+    """Missing years that were fetched and brought nothing: their last log entry says that no row came."""
+    last = latest(completeness, ["condition", "year"], "ts", "entry_id").where("total_retrieved = 0")
+    return missing.join(last.select("condition", F.col("year").try_cast("int").alias("file_year")), ["condition", "file_year"], "left_semi")
+
+
+def data_gaps(missing: DataFrame, empty: DataFrame) -> DataFrame:
+    """Every gap with its type: a year never fetched, or one whose file is empty."""
+    never = missing.join(empty, ["condition", "file_year"], "left_anti")
+    return never.withColumn("type", F.lit("Missing Data")).unionByName(empty.withColumn("type", F.lit("Empty File")))
+
+
+def selection(stats: DataFrame, least: float = 80.0, first: int = 60, rounded: bool = True) -> DataFrame:
+    """The best `first` conditions with a score of at least `least`, best first, ties by name.
+
+    The exported score, which has one decimal, decides; with `rounded=False` the raw one does.
+    """
+    score = F.round("quality_score", 1) if rounded else F.col("quality_score")
+    best = stats.withColumn("score", score).where(F.col("score") >= least).orderBy(F.desc("score"), "condition").limit(first)
+    return best.select(F.row_number().over(W.orderBy(F.desc("score"), "condition")).alias("rank"), "condition", "score")
+
+
 def filled_grid(catalog: DataFrame, years: DataFrame) -> DataFrame:
     """The grid with the papers of each cell, 0 where there are none."""
     counted = years.select("condition", "file_year", "papers")

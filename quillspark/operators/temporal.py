@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -36,8 +37,11 @@ def trend(totals: DataFrame, year: str = "file_year", total: str = "total") -> D
 
 
 def trend_with_p_value(totals: DataFrame) -> DataFrame:
-    """The trend with the two-sided p-value of its slope; the helper sees one row."""
-    row = trend(totals).first()
-    rows = [(*row, slope_p_value(row.r2, row.years))] if row else []
-    schema = "years long, slope double, r2 double, early double, late double, growth double, p_value double"
-    return totals.sparkSession.createDataFrame(rows, schema)
+    """The trend with the two-sided p-value of its slope, and whether it is below 0.05."""
+
+    @F.arrow_udf("double")
+    def p_value(r2: pa.Array, years: pa.Array) -> pa.Array:
+        return pa.array([slope_p_value(r, n) for r, n in zip(r2.to_pylist(), years.to_pylist())], pa.float64())
+
+    fitted = trend(totals).withColumn("p_value", p_value("r2", "years"))
+    return fitted.withColumn("significant", F.col("p_value") < 0.05)

@@ -47,6 +47,7 @@ _CS = (
 )
 _GRID = "g AS (SELECT name AS condition, y::INT AS file_year FROM condition_catalog, range(1975, 2025) AS r(y))"
 _MISS = _GRID + ", miss AS (SELECT g.* FROM g WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.condition = g.condition AND c.file_year = g.file_year))"
+_EMPTY = "e AS (SELECT condition, year FROM (SELECT * FROM completeness QUALIFY row_number() OVER (PARTITION BY condition, year ORDER BY ts DESC NULLS LAST, entry_id DESC) = 1) WHERE total_retrieved = 0)"
 _FILLED = _GRID + ", filled AS (SELECT g.condition, g.file_year, coalesce(ys.papers, 0) AS papers FROM g LEFT JOIN ys ON ys.condition = g.condition AND ys.file_year = g.file_year)"
 _BY = _FILLED + ", byyear AS (SELECT file_year, sum(papers)::BIGINT AS total, avg(papers) AS mean, stddev_samp(papers) AS std, count(*) FILTER (WHERE papers > 0) AS active FROM filled GROUP BY ALL)"
 _SIMPLE = "list_filter(list_transform(string_split(mesh_terms, ';'), lambda x: regexp_replace(regexp_replace(x, '^\\s+', ''), '\\s+$', '')), lambda x: x <> '')"
@@ -152,16 +153,17 @@ def grand_totals(spark: SparkSession, d: str) -> DataFrame:
         F.sum("total_papers").alias("papers"), F.sum("unique_pmids").alias("summed_pmids"), F.round(F.avg("quality_score"), 6).alias("mean_score"), F.round(F.median("quality_score"), 6).alias("median_score"),
         *[F.count_if(F.col("confidence") == c).alias(c) for c in ("high", "medium", "low")], quality.confidence(F.avg("quality_score")).alias("verdict"),
     )
-    distinct = quality.corpus(_papers(spark, d)).agg(F.count_distinct("pmid")).first()[0]
-    return stats.withColumn("distinct_pmids", F.lit(distinct).cast("long"))
+    distinct = quality.corpus(_papers(spark, d)).agg(F.count_distinct("pmid").alias("distinct_pmids"))
+    names = [*stats.columns, "distinct_pmids"]
+    return stats.unionByName(distinct, allowMissingColumns=True).agg(*[F.max(c).alias(c) for c in names])
 
 
 @query(f"WITH {_CS} SELECT least(19, floor((quality_score - lo) / nullif(hi - lo, 0) * 20))::INT AS bin, count(*) AS n FROM cs, (SELECT min(quality_score) AS lo, max(quality_score) AS hi FROM cs) GROUP BY ALL")
 def score_histogram(spark: SparkSession, d: str) -> DataFrame:
     """Scores in 20 bins between the least and the greatest."""
-    stats = materialise(_stats(spark, d).select("quality_score"))
-    low, high = stats.agg(F.min("quality_score"), F.max("quality_score")).first()
-    place = F.floor((F.col("quality_score") - F.lit(low)) / F.nullif(F.lit(high) - F.lit(low), F.lit(0.0)) * 20)
+    every = W.partitionBy()  # one row per condition
+    stats = _stats(spark, d).select("quality_score", F.min("quality_score").over(every).alias("low"), F.max("quality_score").over(every).alias("high"))
+    place = F.floor((F.col("quality_score") - F.col("low")) / F.nullif(F.col("high") - F.col("low"), F.lit(0.0)) * 20)
     return stats.groupBy(F.least(F.lit(19), place).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -187,11 +189,38 @@ def retrieval_advice(spark: SparkSession, d: str) -> DataFrame:
     return quality.retrieval_advice(_stats(spark, d), quality.missing_years(_catalog(spark, d), _papers(spark, d)))
 
 
-@query(f"WITH {_CS} SELECT n.name AS condition, n.folder, round(quality_score, 6) AS quality_score FROM condition_catalog n LEFT JOIN cs ON cs.condition = n.name WHERE quality_score >= 80 OR cs.condition IS NULL")
+@query(f"WITH {_CS}, r AS (SELECT condition, round(quality_score, 1) AS score FROM cs WHERE round(quality_score, 1) >= 80) SELECT row_number() OVER (ORDER BY score DESC, condition)::INT AS rank, condition, score FROM r QUALIFY rank <= 60")
 def embedding_selection(spark: SparkSession, d: str) -> DataFrame:
-    """Conditions with a raw score of 80 or more, and catalogue entries without any paper (score null)."""
-    joined = _catalog(spark, d).selectExpr("name AS condition", "folder").join(_stats(spark, d).select("condition", "quality_score"), "condition", "left")
-    return joined.where("quality_score >= 80 or quality_score is null").selectExpr("condition", "folder", "round(quality_score, 6) AS quality_score")
+    """The 60 best conditions with an exported score of 80 or more (a top-k report)."""
+    return quality.selection(_stats(spark, d))
+
+
+@query(f"WITH {_CS}, r AS (SELECT condition, quality_score AS score FROM cs WHERE quality_score >= 80) SELECT row_number() OVER (ORDER BY round(score, 9) DESC, condition)::INT AS rank, condition, round(score, 6) AS score FROM r QUALIFY rank <= 60")
+def embedding_selection_raw(spark: SparkSession, d: str) -> DataFrame:
+    """The same by the raw score."""
+    stats = _stats(spark, d).withColumn("quality_score", F.round("quality_score", 9))
+    return quality.selection(stats, rounded=False).withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {_CS} SELECT n.name AS condition, n.folder FROM condition_catalog n WHERE NOT EXISTS (SELECT 1 FROM cs WHERE cs.condition = n.name)")
+def skipped_conditions(spark: SparkSession, d: str) -> DataFrame:
+    """Catalogue entries without any paper, which a selection warns of and skips."""
+    held = quality.corpus(_papers(spark, d)).select("condition").distinct()
+    return _catalog(spark, d).selectExpr("name AS condition", "folder").join(held, "condition", "left_anti")
+
+
+@query("WITH c AS (SELECT condition, file_year, nullif(pmid, '') AS pmid, nullif(abstract, '') AS abstract FROM papers WHERE file_year BETWEEN 2020 AND 2024 AND condition IS NOT NULL) SELECT condition, count(*) AS total_papers, count(DISTINCT pmid) AS unique_pmids, count(DISTINCT file_year) AS found_years, 5 - count(DISTINCT file_year) AS missing_years, round(count(*) FILTER (WHERE length(abstract) > 100 AND NOT contains(lower(abstract), 'no abstract')) * 100.0 / count(*), 6) AS abstract_coverage FROM c GROUP BY ALL")
+def recent_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The condition statistics of the test years 2020 to 2024 only; the subset prunes the scan."""
+    stats = quality.condition_stats(_papers(spark, d), list(range(2020, 2025)))
+    return stats.select("condition", "total_papers", "unique_pmids", "found_years", "missing_years", F.round("abstract_coverage", 6).alias("abstract_coverage"))
+
+
+@query(f"WITH {_TERMS.replace('FROM papers)', 'FROM papers WHERE file_year IN (2015, 2018, 2020, 2022, 2024))')} SELECT term, count(*) AS n FROM tr GROUP BY ALL")
+def sample_year_terms(spark: SparkSession, d: str) -> DataFrame:
+    """Term frequencies in the five years that the term report samples."""
+    papers = _papers(spark, d).where(F.col("file_year").isin(2015, 2018, 2020, 2022, 2024))
+    return terms.frequencies(terms.term_rows(papers))
 
 
 # -- gaps and time
@@ -202,19 +231,30 @@ def missing_years(spark: SparkSession, d: str) -> DataFrame:
     return quality.missing_years(_catalog(spark, d), _papers(spark, d))
 
 
-@query(f"WITH {_C}, {_MISS} SELECT m.condition, m.file_year, CASE WHEN e.condition IS NOT NULL THEN 'Empty by source' ELSE 'Missing Data' END AS type FROM miss m LEFT JOIN (SELECT DISTINCT condition, year FROM completeness WHERE total_found = 0) e ON e.condition = m.condition AND e.year = m.file_year::VARCHAR")
+@query(f"WITH {_C}, {_MISS}, {_EMPTY} SELECT condition, file_year, CASE WHEN (condition, file_year::VARCHAR) IN (SELECT (condition, year) FROM e) THEN 'Empty File' ELSE 'Missing Data' END AS type FROM miss")
 def data_gaps(spark: SparkSession, d: str) -> DataFrame:
-    """Missing years, told apart by whether the source itself had nothing."""
-    empty = table(spark, d, "completeness").where("total_found = 0").select("condition", F.col("year").try_cast("int").alias("file_year")).distinct().withColumn("type", F.lit("Empty by source"))
-    gaps = quality.missing_years(_catalog(spark, d), _papers(spark, d)).join(empty, ["condition", "file_year"], "left")
-    return gaps.select("condition", "file_year", F.coalesce("type", F.lit("Missing Data")).alias("type"))
+    """Missing years and, told apart by the log, years that were fetched but are empty."""
+    missing = quality.missing_years(_catalog(spark, d), _papers(spark, d))
+    return quality.data_gaps(missing, quality.empty_years(table(spark, d, "completeness"), missing))
 
 
 @query(f"WITH {_C}, {_MISS} SELECT file_year, count(*) AS n FROM miss GROUP BY ALL HAVING count(*) > 0.2 * (SELECT count(*) FROM condition_catalog)")
 def systematic_gaps(spark: SparkSession, d: str) -> DataFrame:
     """Years missing for more than a fifth of the conditions."""
-    catalog = _catalog(spark, d)
-    return quality.missing_years(catalog, _papers(spark, d)).groupBy("file_year").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 0.2 * catalog.count())
+    return _gap_counts(spark, d).where("n > 0.2 * conditions").select("file_year", "n")
+
+
+def _gap_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Of each expected year, how many conditions there are and how many miss it."""
+    filled = quality.filled_grid(_catalog(spark, d), _years(spark, d))
+    return filled.groupBy("file_year").agg(F.count(F.lit(1)).alias("conditions"), F.count_if(F.col("papers") == 0).alias("n"))
+
+
+@query(f"WITH {_C}, {_MISS}, n AS (SELECT file_year, count(*) AS n FROM miss GROUP BY ALL HAVING count(*) > 0.2 * (SELECT count(*) FROM condition_catalog)) SELECT row_number() OVER (ORDER BY n DESC, file_year)::INT AS rank, file_year, n FROM n QUALIFY rank <= 5")
+def worst_gap_years(spark: SparkSession, d: str) -> DataFrame:
+    """The five systematic gap years that most conditions miss (a top-k report)."""
+    worst = systematic_gaps(spark, d).orderBy(F.desc("n"), "file_year").limit(5)
+    return worst.select(F.row_number().over(W.orderBy(F.desc("n"), "file_year")).alias("rank"), "file_year", "n")
 
 
 @query(f"WITH {_YS}, {_FILLED} SELECT condition, file_year, papers FROM filled")
@@ -234,27 +274,49 @@ def yearly_trend(spark: SparkSession, d: str) -> DataFrame:
     return fitted.selectExpr("years", *[f"round({c}, 6) AS {c}" for c in ("slope", "r2", "early", "late", "growth")])
 
 
-@query()
+# Student's t by Simpson's rule over its density
+_P_VALUE = """f AS (SELECT count(*) AS years, regr_slope(total, file_year) AS slope, regr_r2(total, file_year) AS r2 FROM byyear),
+  t AS (SELECT *, years - 2 AS df, sqrt(r2 * (years - 2) / (1 - r2)) AS t FROM f),
+  i AS (SELECT sum(CASE WHEN k IN (0, 4000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * pow(1 + pow(t * k / 4000, 2) / df, -(df + 1) / 2.0)) * t / 4000 / 3 AS area FROM t, range(4001) AS r(k) GROUP BY t)
+  SELECT years, round(slope, 6) AS slope, round(r2, 6) AS r2, round(1 - 2 * area * exp(lgamma((df + 1) / 2.0) - lgamma(df / 2.0)) / sqrt(df * pi()), 6) + 0.0 AS p_value,
+    1 - 2 * area * exp(lgamma((df + 1) / 2.0) - lgamma(df / 2.0)) / sqrt(df * pi()) < 0.05 AS significant FROM t, i"""
+
+
+@query(f"WITH {_YS}, {_BY}, {_P_VALUE}")
 def yearly_trend_p_value(spark: SparkSession, d: str) -> DataFrame:
-    """The same with the p-value of the slope."""
-    return temporal.trend_with_p_value(temporal.by_year(_filled(spark, d)))
+    """Slope and R2 with the p-value of the slope."""
+    fitted = temporal.trend_with_p_value(temporal.by_year(_filled(spark, d)))
+    return fitted.select("years", *[(F.round(c, 6) + 0.0).alias(c) for c in ("slope", "r2", "p_value")], "significant")
 
 
-@query(f"WITH {_YS}, {_FILLED}, top AS (SELECT condition FROM filled GROUP BY ALL ORDER BY sum(papers) DESC, condition LIMIT 30) SELECT condition, file_year, CASE WHEN papers > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS cell FROM filled SEMI JOIN top USING (condition)")
+@query(f"WITH {_YS}, {_FILLED}, {_EMPTY}, top AS (SELECT condition FROM filled GROUP BY ALL ORDER BY sum(papers) DESC, condition LIMIT 30) SELECT condition, file_year, CASE WHEN papers > 0 THEN 1.0 WHEN (condition, file_year::VARCHAR) IN (SELECT (condition, year) FROM e) THEN 0.5 ELSE 0.0 END::DOUBLE AS cell FROM filled SEMI JOIN top USING (condition)")
 def coverage_heatmap(spark: SparkSession, d: str) -> DataFrame:
-    """The 30 largest conditions by year: 1 where there are papers, else 0."""
+    """The 30 largest conditions by year: 1 where there are papers, 0.5 where the file is empty, else 0."""
     grid = _filled(spark, d)
     top = grid.groupBy("condition").agg(F.sum("papers").alias("n")).orderBy(F.desc("n"), "condition").limit(30).select("condition")
-    return grid.join(top, "condition", "left_semi").select("condition", "file_year", F.when(F.col("papers") > 0, 1.0).otherwise(0.0).alias("cell"))
+    empty = quality.empty_years(table(spark, d, "completeness"), grid.where("papers = 0").select("condition", "file_year")).withColumn("empty", F.lit(0.5))
+    shown = grid.join(top, "condition", "left_semi").join(empty, ["condition", "file_year"], "left")
+    return shown.select("condition", "file_year", F.when(F.col("papers") > 0, 1.0).otherwise(F.coalesce("empty", F.lit(0.0))).alias("cell"))
 
 
 @query(f"WITH {_YS}, {_FILLED} SELECT CASE WHEN grouping(file_year) = 1 THEN 'TOTAL' ELSE file_year::VARCHAR END AS year, condition, sum(papers)::BIGINT AS papers FROM filled GROUP BY GROUPING SETS ((file_year, condition), (condition))")
 def temporal_with_total(spark: SparkSession, d: str) -> DataFrame:
     """The temporal matrix in long form with a TOTAL row per condition."""
-    sets = _filled(spark, d).cube("file_year", "condition").agg(F.sum("papers").alias("papers"), F.grouping("file_year").alias("g"), F.grouping("condition").alias("h")).where("h = 0")
+    grid = _filled(spark, d)
+    sets = grid.groupingSets([["file_year", "condition"], ["condition"]], "file_year", "condition").agg(F.sum("papers").alias("papers"), F.grouping("file_year").alias("g"))
     return sets.select(F.when(F.col("g") == 1, "TOTAL").otherwise(F.col("file_year").cast("string")).alias("year"), "condition", "papers")
 
 
+_LONG = "SELECT CASE WHEN grouping(file_year) = 1 THEN 'TOTAL' ELSE file_year::VARCHAR END AS year, condition, sum(papers)::BIGINT AS papers FROM filled GROUP BY GROUPING SETS ((file_year, condition), (condition))"
+
+
+@query(f"WITH {_YS}, {_FILLED}, w AS ({_LONG}) SELECT * FROM (PIVOT w ON condition USING sum(papers)::BIGINT GROUP BY year)")
+def temporal_export(spark: SparkSession, d: str) -> DataFrame:
+    """The exported matrix: a row per year and one TOTAL, a column per condition of the catalogue."""
+    names = [r.name for r in _catalog(spark, d).select("name").distinct().orderBy("name").collect()]  # the columns
+    return temporal_with_total(spark, d).groupBy("year").pivot("condition", names).agg(F.sum("papers"))
+
+
 @query("SELECT year, condition, sum(total_found)::BIGINT AS found, sum(total_retrieved)::BIGINT AS retrieved, round(CASE WHEN sum(total_found) > 0 THEN sum(total_retrieved) * 100.0 / sum(total_found) ELSE 100.0 END, 6) AS pct FROM completeness GROUP BY ROLLUP (condition, year)")
 def completeness_report(spark: SparkSession, d: str) -> DataFrame:
     """Found and retrieved per condition and year, per condition and in all."""
@@ -322,8 +384,10 @@ def condition_terms(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_TERMS}, a AS (SELECT condition, count(packed) * 100.0 / count(*) AS coverage FROM tp GROUP BY ALL) SELECT round(avg(coverage), 6) AS mean_coverage, round(stddev_pop(coverage), 6) AS std_coverage, (SELECT count(DISTINCT term) FROM tr) AS distinct_terms FROM a")
 def term_summary(spark: SparkSession, d: str) -> DataFrame:
     papers = _papers(spark, d)
-    distinct = terms.term_rows(papers).agg(F.count_distinct("term")).first()[0]
-    return terms.condition_terms(papers).agg(F.round(F.avg("coverage"), 6).alias("mean_coverage"), F.round(F.stddev_pop("coverage"), 6).alias("std_coverage"), F.lit(distinct).cast("long").alias("distinct_terms"))
+    coverage = terms.condition_terms(papers).agg(F.round(F.avg("coverage"), 6).alias("mean_coverage"), F.round(F.stddev_pop("coverage"), 6).alias("std_coverage"))
+    distinct = terms.term_rows(papers).agg(F.count_distinct("term").alias("distinct_terms"))
+    both = coverage.unionByName(distinct, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
 # -- vectors
@@ -343,7 +407,10 @@ def encoder_whole_texts(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def paper_centroids(spark: SparkSession, d: str) -> DataFrame:
-    """Mean vector per condition and year of the offline stand-in encoder's vectors."""
+    """Mean vector per condition and year; the texts' vectors are masked means over all their tokens.
+
+    The token vectors come from the offline stand-in model; any other model goes in its place.
+    """
     texts = _papers(spark, d).where("condition is not null").select("condition", "file_year", vectors.paper_text().alias("text"))
     encoded = vectors.encode_texts(texts, "text", lambda: vectors.hashing_encoder(128))
     return vectors.mean_vector(encoded, ["condition", "file_year"], "vec", 128)
@@ -362,16 +429,56 @@ def condition_centroids(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_VECS}, m AS (SELECT condition, i, avg(x) AS x FROM el GROUP BY ALL), l AS (SELECT condition, list(x ORDER BY i) AS vec FROM m GROUP BY ALL) SELECT p.condition AS a, q.condition AS b, round(list_cosine_similarity(p.vec, q.vec), 5) AS cos FROM l p JOIN l q ON p.condition <= q.condition")
 def condition_similarity(spark: SparkSession, d: str) -> DataFrame:
-    """Cosine of every two conditions' mean vectors (one row per condition of the catalogue)."""
+    """Cosine of every two conditions' mean vectors."""
     return vectors.similarity(_centroids(spark, d), "condition").select("a", "b", F.round("cos", 5).alias("cos"))
 
 
+@query(f"WITH {_VECS}, m AS (SELECT condition, i, avg(x) AS x FROM el GROUP BY ALL), l AS (SELECT condition, list(x ORDER BY i) AS vec FROM m GROUP BY ALL), s AS (SELECT p.condition AS a, q.condition AS b, round(list_cosine_similarity(p.vec, q.vec), 5) AS cos FROM l p, l q WHERE p.condition IS NOT NULL AND q.condition IS NOT NULL) SELECT * FROM (PIVOT s ON b USING first(cos) GROUP BY a)")
+def similarity_export(spark: SparkSession, d: str) -> DataFrame:
+    """The same as a square matrix with a row and a column per condition."""
+    pairs = materialise(condition_similarity(spark, d).where("a is not null and b is not null"))
+    names = [r.a for r in pairs.select("a").distinct().orderBy("a").collect()]  # the columns
+    return vectors.similarity_matrix(pairs, names)
+
+
 @query(f"WITH {_VECS}, m AS (SELECT condition, year, i, avg(x) AS x FROM el WHERE year IS NOT NULL GROUP BY ALL), l AS (SELECT condition, year, list(x ORDER BY i) AS vec FROM m GROUP BY ALL), w AS (SELECT condition, year, vec, lag(vec) OVER o AS before, year - lag(year) OVER o AS year_gap, count(*) OVER (PARTITION BY condition) AS k FROM l WINDOW o AS (PARTITION BY condition ORDER BY year)) SELECT condition, year, year_gap, round(list_distance(vec, before), 4) AS drift FROM w WHERE k > 5 AND before IS NOT NULL")
 def semantic_drift(spark: SparkSession, d: str) -> DataFrame:
     """Distance of each condition's yearly mean vector to the one before; the year is the last one covered."""
+    return vectors.drift(_yearly_centroids(spark, d), "condition", "year").withColumn("drift", F.round("drift", 4))
+
+
+def _yearly_centroids(spark: SparkSession, d: str) -> DataFrame:
     dated = table(spark, d, "condition_embeddings").withColumn("year", F.try_element_at("years_covered", F.lit(-1))).where("year is not null")
-    centroids = vectors.mean_vector(dated, ["condition", "year"], "aggregate_embedding", 128)
-    return vectors.drift(centroids, "condition", "year").withColumn("drift", F.round("drift", 4))
+    return vectors.mean_vector(dated, ["condition", "year"], "aggregate_embedding", 128)
+
+
+@query(f"WITH {_VECS}, m AS (SELECT condition, year, i, avg(x) AS x FROM el WHERE year IS NOT NULL GROUP BY ALL), l AS (SELECT condition, year, list(x ORDER BY i) AS vec FROM m GROUP BY ALL), w AS (SELECT condition, year, vec, lag(vec) OVER o AS before, count(*) OVER (PARTITION BY condition) AS k FROM l WINDOW o AS (PARTITION BY condition ORDER BY year)), top AS (SELECT condition FROM l GROUP BY ALL ORDER BY count(*) DESC, condition LIMIT 10) SELECT condition, year, round(list_distance(vec, before), 4) AS drift FROM w SEMI JOIN top USING (condition) WHERE k > 5 AND before IS NOT NULL")
+def drift_of_longest_series(spark: SparkSession, d: str) -> DataFrame:
+    """The drift of the ten conditions with the most years (a top-k report)."""
+    centroids = _yearly_centroids(spark, d)
+    longest = centroids.groupBy("condition").agg(F.count(F.lit(1)).alias("years")).orderBy(F.desc("years"), "condition").limit(10)
+    moved = vectors.drift(centroids.join(longest.select("condition"), "condition", "left_semi"), "condition", "year")
+    return moved.select("condition", "year", F.round("drift", 4).alias("drift"))
+
+
+@query("WITH e AS (SELECT * FROM condition_embeddings WHERE condition IS NOT NULL) SELECT condition, (SELECT sum(total_papers) FROM e x WHERE x.condition = e.condition)::BIGINT AS total_papers, (SELECT count(*) FROM e x WHERE x.condition = e.condition) AS slices, (SELECT list_sort(list_distinct(list(y))) FROM (SELECT unnest(years_covered) AS y FROM e x WHERE x.condition = e.condition)) AS years_covered FROM e GROUP BY condition")
+def embedding_metadata(spark: SparkSession, d: str) -> DataFrame:
+    """What the metadata file of each condition holds: papers, slices and years."""
+    stored = table(spark, d, "condition_embeddings").where("condition is not null")
+    totals = stored.groupBy("condition").agg(F.sum("total_papers").alias("total_papers"), F.count(F.lit(1)).alias("slices"))
+    years = stored.select("condition", F.explode("years_covered").alias("y")).where("y is not null").groupBy("condition").agg(F.sort_array(F.collect_set("y")).alias("years_covered"))
+    return totals.join(years, "condition", "left")
+
+
+@query("SELECT count(DISTINCT condition) AS conditions, count(aggregate_embedding) AS vectors, max(len(aggregate_embedding))::INT AS embedding_dim, sum(total_papers)::BIGINT AS total_papers, (SELECT min(y) FROM (SELECT unnest(years_covered) AS y FROM condition_embeddings))::INT AS first_year, (SELECT max(y) FROM (SELECT unnest(years_covered) AS y FROM condition_embeddings))::INT AS last_year, round(avg(len(list_distinct(years_covered))), 6) AS mean_years FROM condition_embeddings")
+def embedding_summary(spark: SparkSession, d: str) -> DataFrame:
+    """The numbers of the embedding summary, in one row."""
+    size = F.when(F.col("aggregate_embedding").isNotNull(), F.size("aggregate_embedding"))
+    years = F.when(F.col("years_covered").isNotNull(), F.size(F.array_distinct("years_covered")))
+    return table(spark, d, "condition_embeddings").agg(
+        F.count_distinct("condition").alias("conditions"), F.count("aggregate_embedding").alias("vectors"), F.max(size).alias("embedding_dim"), F.sum("total_papers").alias("total_papers"),
+        F.min(F.array_min("years_covered")).alias("first_year"), F.max(F.array_max("years_covered")).alias("last_year"), F.round(F.avg(years), 6).alias("mean_years"),
+    )
 
 
 @query("SELECT condition, min(y)::INT AS first_year, max(y)::INT AS last_year, count(DISTINCT y) AS years FROM (SELECT condition, unnest(years_covered) AS y FROM condition_embeddings) GROUP BY ALL")
@@ -444,11 +551,12 @@ def longest_series(spark: SparkSession, d: str) -> DataFrame:
     return embedding_years(spark, d).select("condition", "years").orderBy(F.desc("years"), "condition").limit(10)
 
 
-@query("SELECT vec_id, condition, len(aggregate_embedding) AS embedding_dim, list_sort(list_distinct(years_covered)) AS years_available FROM condition_embeddings WHERE aggregate_embedding IS NOT NULL")
+@query("SELECT vec_id, condition, aggregate_embedding AS embedding, len(aggregate_embedding) AS embedding_dim, list_sort(list_distinct(years_covered)) AS years_available FROM condition_embeddings WHERE aggregate_embedding IS NOT NULL AND NOT list_bool_or(list_transform(aggregate_embedding, lambda x: x IS NULL OR isnan(x)))")
 def embedding_export(spark: SparkSession, d: str) -> DataFrame:
-    """What the downstream join file holds of each stored embedding, without the numbers."""
-    kept = table(spark, d, "condition_embeddings").where("aggregate_embedding is not null")
-    return kept.select("vec_id", "condition", F.size("aggregate_embedding").cast("long").alias("embedding_dim"), F.sort_array(F.array_distinct("years_covered")).alias("years_available"))
+    """What the downstream join file holds of each stored embedding that is a vector of numbers."""
+    numbers = F.forall("aggregate_embedding", lambda x: x.isNotNull() & ~F.isnan(x))
+    kept = table(spark, d, "condition_embeddings").where(F.col("aggregate_embedding").isNotNull() & numbers)
+    return kept.select("vec_id", "condition", F.col("aggregate_embedding").alias("embedding"), F.size("aggregate_embedding").cast("long").alias("embedding_dim"), F.sort_array(F.array_distinct("years_covered")).alias("years_available"))
 
 
 @query("SELECT condition, year, total_found, total_retrieved, round(CASE WHEN total_found > 0 THEN total_retrieved * 100.0 / total_found ELSE 100.0 END, 6) AS completeness FROM completeness QUALIFY row_number() OVER (PARTITION BY condition, year ORDER BY ts DESC NULLS LAST, entry_id DESC) = 1")
@@ -458,6 +566,35 @@ def completeness_state(spark: SparkSession, d: str) -> DataFrame:
     return with_completeness(last).select("condition", "year", "total_found", "total_retrieved", F.round("completeness", 6).alias("completeness"))
 
 
+_LAST = "SELECT * FROM completeness QUALIFY row_number() OVER (PARTITION BY condition, year ORDER BY ts DESC NULLS LAST, entry_id DESC) = 1"
+
+
+@query(f"SELECT n.folder, l.condition, l.year, total_found - total_retrieved AS lacking, l.year || ': ' || format('{{:,}}', total_retrieved) || ' / ' || format('{{:,}}', total_found) || ' (' || format('{{:.1f}}', round(total_retrieved * 100.0 / total_found, 1)) || '%)' AS line FROM ({_LAST}) l JOIN condition_catalog n ON n.name = l.condition WHERE total_found > 0 AND total_retrieved < total_found")
+def completeness_detail(spark: SparkSession, d: str) -> DataFrame:
+    """The report's lines on catalogued conditions and years that are below 100 percent."""
+    last = quality.latest(table(spark, d, "completeness"), ["condition", "year"], "ts", "entry_id").where("total_found > 0 and total_retrieved < total_found")
+    held = last.join(_catalog(spark, d).selectExpr("name AS condition", "folder"), "condition")
+    pct = F.round(F.col("total_retrieved") * 100.0 / F.col("total_found"), 1)
+    line = F.format_string("%s: %,d / %,d (%.1f%%)", "year", "total_retrieved", "total_found", pct)
+    return held.select("folder", "condition", "year", (F.col("total_found") - F.col("total_retrieved")).alias("lacking"), line.alias("line"))
+
+
+@query(f"WITH {_CS}, {_GRID}, gaps AS (SELECT count(*) AS n FROM g WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.condition = g.condition AND c.file_year = g.file_year)) SELECT 'scores' AS section, name, value FROM (SELECT count(*)::DOUBLE AS conditions, sum(total_papers)::DOUBLE AS papers, sum(unique_pmids)::DOUBLE AS summed_pmids, sum(papers_with_abstracts)::DOUBLE AS with_abstracts, sum(papers_with_mesh)::DOUBLE AS with_terms, round(avg(quality_score), 6) AS mean_score, round(median(quality_score), 6) AS median_score, (count(*) FILTER (WHERE quality_score < 60))::DOUBLE AS to_fetch_again FROM cs) UNPIVOT (value FOR name IN (conditions, papers, summed_pmids, with_abstracts, with_terms, mean_score, median_score, to_fetch_again)) UNION ALL SELECT 'gaps', 'missing_years', n::DOUBLE FROM gaps")
+def validation_summary(spark: SparkSession, d: str) -> DataFrame:
+    """The numbers of the validation report and its summary file: (section, name, value)."""
+    scores = _stats(spark, d).agg(
+        F.count(F.lit(1)).alias("conditions"), F.sum("total_papers").alias("papers"), F.sum("unique_pmids").alias("summed_pmids"), F.sum("papers_with_abstracts").alias("with_abstracts"), F.sum("papers_with_mesh").alias("with_terms"),
+        F.round(F.avg("quality_score"), 6).alias("mean_score"), F.round(F.median("quality_score"), 6).alias("median_score"), F.count_if(F.col("quality_score") < 60).alias("to_fetch_again"),
+    )
+    gaps = quality.missing_years(_catalog(spark, d), _papers(spark, d)).agg(F.count(F.lit(1)).alias("missing_years"))
+
+    def long(section: str, row: DataFrame) -> DataFrame:
+        values = [F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in row.columns]
+        return row.select(F.lit(section).alias("section"), F.inline(F.array(*values)))
+
+    return long("scores", scores).unionByName(long("gaps", gaps))
+
+
 @query("SELECT name, ord FROM condition_catalog WHERE name IN (SELECT name FROM condition_catalog ORDER BY md5(name || '42'), name LIMIT 30)")
 def condition_sample(spark: SparkSession, d: str) -> DataFrame:
     """A seeded sample of 30 conditions (the sampling operator itself)."""

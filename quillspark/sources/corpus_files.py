@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 CSV_COLUMNS = ["PMID", "Title", "Abstract", "Journal", "Year", "MeSH_Terms", "Authors", "FirstAuthorAffiliation", "Condition"]
 CSV_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in CSV_COLUMNS])
-_DIALECT = {"header": True, "multiLine": True, "quote": '"', "escape": '"'}
+DIALECT = {"header": True, "multiLine": True, "quote": '"', "escape": '"'}
 # Fixed value: texts that the usual data-frame readers take for a missing value.
 NULL_TEXTS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 
@@ -18,13 +18,36 @@ def read_corpus_csv(spark: SparkSession, root: str, null_texts: list[str] | None
 
     Empty texts are nulls; `null_texts` names others that are, for example NULL_TEXTS.
     """
-    raw = spark.read.schema(CSV_SCHEMA).options(**_DIALECT).csv(f"{root}/*/*.csv")
+    raw = spark.read.schema(CSV_SCHEMA).options(**DIALECT).csv(f"{root}/*/*.csv")
+    return normalised(raw, null_texts)
+
+
+def normalised(raw: DataFrame, null_texts: list[str] | None = None) -> DataFrame:
+    """CSV rows, of a batch or a stream, with the table's names, nulls, folder and file_year."""
     path = F.col("_metadata.file_path")
     names = [F.when(~F.col(c).isin(null_texts or [""]), F.col(c)).alias(c.lower()) for c in CSV_COLUMNS]
     folder, year = F.url_decode(F.regexp_extract(path, r"([^/]+)/[^/]+$", 1)), F.regexp_extract(path, r"_(\d{4})\.csv$", 1)
     return raw.select(*names, folder.alias("folder"), year.try_cast("int").alias("file_year"))
 
 
+# The headings of the exported score table, and this package's names for them.
+SCORE_HEADINGS = {
+    "Condition": "condition", "Condition_Folder": "folder", "Quality_Score": "quality_score", "Total_Papers": "total_papers", "Unique_PMIDs": "unique_pmids",
+    "Papers_With_Abstracts": "papers_with_abstracts", "Abstract_Coverage_%": "abstract_coverage", "Papers_With_MeSH": "papers_with_mesh", "MeSH_Coverage_%": "mesh_coverage",
+    "Year_Coverage_%": "year_coverage", "Missing_Years": "missing_years", "Cross_Year_Duplicates_%": "duplicate_rate", "Quality_Issues": "quality_issues", "Anomalous_Years": "anomalous_years",
+}
+
+
+def with_table_names(scores: DataFrame) -> DataFrame:
+    """A score table with either kind of headings, with this package's names."""
+    return scores.withColumnsRenamed({old: new for old, new in SCORE_HEADINGS.items() if old in scores.columns})
+
+
+def with_headings(scores: DataFrame) -> DataFrame:
+    """A score table with the headings of the export, in their order."""
+    return scores.select(*[F.col(new).alias(old) for old, new in SCORE_HEADINGS.items()])
+
+
 def write_corpus(papers: DataFrame, path: str) -> None:
     """Parquet by condition folder and year; a rerun replaces only the partitions it writes."""
     folder = F.translate("condition", "/ ", "__")
@@ -41,6 +64,13 @@ def export_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def export_summary(numbers: DataFrame, path: str) -> None:
+    """A long table of (section, name, value) as one JSON object by section; the table has a row per number."""
+    by_section = numbers.groupBy("section").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("name", "value")))).alias("numbers"))
+    whole = by_section.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("section", F.to_json("numbers").alias("numbers"))))).alias("summary"))
+    whole.select(F.to_json("summary").alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
 def file_listing(spark: SparkSession, root: str) -> DataFrame:
     """(folder, file, file_year, bytes) of every CSV file, empty ones too, from the file system's own listing."""
     jvm = spark.sparkContext._jvm

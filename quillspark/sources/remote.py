@@ -11,12 +11,14 @@ import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
 from quillspark.operators.querytext import search_text
 
 #: Rows that one query may return, ids per fetch, tries and seconds between them.
 CAP, BATCH, TRIES, PAUSE = 9_999, 100, 3, 2.0
+#: Seconds after every fetch, with and without a key of the source.
+PAUSE_WITH_KEY, PAUSE_WITHOUT_KEY = 0.1, 0.34
 
 
 @dataclass(frozen=True)
@@ -63,14 +65,16 @@ def plan_chunks(condition: str, query: str, year: int, count: Callable[[str], in
             yield Chunk(condition, year, text, found, max(0, found - cap))
 
 
-def fetch_chunk(client, text: str, cap: int = CAP, sleep: Callable[[float], None] = time.sleep) -> Iterator[tuple[str | None, str | None]]:
-    """(xml, error) of each batch of a chunk's ids; a batch that keeps failing gives its error."""
+def fetch_chunk(client, text: str, cap: int = CAP, sleep: Callable[[float], None] = time.sleep, after: float = PAUSE_WITHOUT_KEY) -> Iterator[tuple[str | None, str | None]]:
+    """(xml, error) of each batch of a chunk's ids, with a pause after each; a batch that keeps failing gives its error."""
     ids = client.ids(text, cap)
     for at in range(0, len(ids), BATCH):
         error = None
         for turn in range(TRIES):
             try:
-                yield client.fetch(ids[at : at + BATCH]), None
+                fetched = client.fetch(ids[at : at + BATCH])
+                sleep(after)
+                yield fetched, None
                 break
             except Exception as failure:  # whatever the network raises
                 error = str(failure)
@@ -80,13 +84,39 @@ def fetch_chunk(client, text: str, cap: int = CAP, sleep: Callable[[float], None
             yield None, error
 
 
-def fetch_documents(spark: SparkSession, chunks: list[Chunk], make_client: Callable, parallel: int = 4) -> DataFrame:
-    """XML documents of all chunks: (condition, file_year, found, xml, error).
+_CHUNKS = "condition string, file_year int, text string, found long, lost long, error string"
+_DOCUMENTS = "condition string, file_year int, found long, xml string, error string"
 
-    The chunk list is the work plan, one row per chunk. `parallel` partitions bound the number
-    of connections, so that the source's rate limit holds.
+
+def plan_documents(work: DataFrame, make_client: Callable, cap: int = CAP, parallel: int = 4) -> DataFrame:
+    """The chunks of every condition and year of `work` (condition, query, file_year).
+
+    The counts are asked for in `parallel` tasks. A condition and year whose count fails gives a
+    row with the error and no text.
+    """
+
+    def plan(batches):
+        import pandas as pd
+
+        client = make_client()
+        for batch in batches:
+            rows = []
+            for r in batch.itertuples():
+                try:
+                    rows += [(c.condition, c.year, c.text, c.found, c.lost, None) for c in plan_chunks(r.condition, r.query, int(r.file_year), client.count, cap)]
+                except Exception as failure:  # whatever the network raises
+                    rows.append((r.condition, r.file_year, None, None, None, str(failure)))
+            yield pd.DataFrame(rows, columns=[x.split()[0] for x in _CHUNKS.split(", ")]).astype({"found": "Int64", "lost": "Int64"})
+
+    return work.select("condition", "query", "file_year").repartition(parallel, "condition", "file_year").mapInPandas(plan, _CHUNKS)
+
+
+def fetch_documents(chunks: DataFrame, make_client: Callable, parallel: int = 4, after: float = PAUSE_WITHOUT_KEY) -> DataFrame:
+    """XML documents of all chunks that `plan_documents` gave: (condition, file_year, found, xml, error).
+
+    `parallel` partitions bound the number of connections and each pauses after every fetch, so
+    that the source sees at most parallel / after fetches a second. Errors of the plan are kept.
     """
-    plan = spark.createDataFrame([(c.condition, c.year, c.found, c.text) for c in chunks], "condition string, file_year int, found long, text string")
 
     def fetch(batches):
         import pandas as pd
@@ -94,7 +124,8 @@ def fetch_documents(spark: SparkSession, chunks: list[Chunk], make_client: Calla
         client = make_client()
         for batch in batches:
             for row in batch.itertuples():
-                rows = [(row.condition, row.file_year, row.found, xml, error) for xml, error in fetch_chunk(client, row.text)]
-                yield pd.DataFrame(rows, columns=["condition", "file_year", "found", "xml", "error"])
+                parts = fetch_chunk(client, row.text, after=after) if isinstance(row.text, str) else [(None, row.error)]
+                rows = [(row.condition, row.file_year, row.found, xml, error) for xml, error in parts]
+                yield pd.DataFrame(rows, columns=[x.split()[0] for x in _DOCUMENTS.split(", ")])
 
-    return plan.repartition(parallel).mapInPandas(fetch, "condition string, file_year int, found long, xml string, error string")
+    return chunks.repartition(parallel).mapInPandas(fetch, _DOCUMENTS)

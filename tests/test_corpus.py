@@ -1,5 +1,7 @@
+import json
 import math
 import sys
+import time
 from collections import Counter
 from pathlib import Path
 
@@ -109,10 +111,48 @@ def test_vectors(spark):
     pair = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [1.0, 1.0])], "k string, vec array<double>")
     got = {(r.a, r.b): r.cos for r in vectors.similarity(pair, "k").collect()}
     assert abs(got["a", "b"] - math.sqrt(0.5)) < 1e-9 and abs(got["a", "a"] - 1) < 1e-9
-    with pytest.raises(ValueError):
-        vectors.similarity(pair, "k", limit=1)
+    x = np.random.default_rng(1).normal(size=(60, 4))
+    many = spark.createDataFrame([(f"k{i:02}", v.tolist()) for i, v in enumerate(x)] + [("zero", [0.0] * 4)], "k string, vec array<double>")
+    want = (x @ x.T) / np.linalg.norm(x, axis=1)[:, None] / np.linalg.norm(x, axis=1)
+    for tile_rows in (1000, 7):
+        got = {(r.a, r.b): r.cos for r in vectors.similarity(many, "k", tile_rows).collect()}
+        assert len(got) == 61 * 62 // 2 and all(a <= b for a, b in got) and got["k00", "zero"] is None
+        assert all(abs(got[f"k{i:02}", f"k{j:02}"] - want[i, j]) < 1e-9 for i in range(60) for j in range(i, 60))
+    matrix = {r.a: r.asDict() for r in vectors.similarity_matrix(vectors.similarity(pair, "k"), ["a", "b"]).collect()}
+    assert abs(matrix["b"]["a"] - math.sqrt(0.5)) < 1e-9 and abs(matrix["b"]["b"] - 1) < 1e-9
     encoded = vectors.encode_texts(spark.createDataFrame([("one two",), ("",), (None,)], "t string"), "t").collect()
-    assert abs(np.linalg.norm(encoded[0].vec) - 1) < 1e-6 and encoded[1].vec is None and encoded[2].vec is None
+    assert len(encoded[0].vec) == 768 and encoded[1].vec is None and encoded[2].vec is None
+
+
+class Model:
+    """Token vectors (length of the word, its place)."""
+
+    width = 2
+
+    def tokens(self, text):
+        return [len(w) for w in text.split()]
+
+    def states(self, ids):
+        assert (ids.shape[1]) <= 4
+        return np.stack([ids, ids * 2], axis=2).astype(np.float32)
+
+
+def test_centroid_tables(spark, tmp_path):
+    df = spark.createDataFrame([("A", 2001, [0.0, 0.0])] * 3 + [("A", 2002, [4.0, 0.0]), ("B", 2002, [1.0, 1.0])], "k string, y int, v array<double>")
+    for _ in range(2):
+        vectors.write_centroids(df, "k", "y", "v", 2, str(tmp_path))
+    assert {(r.k, r.y): (r.n, r.vec) for r in spark.read.parquet(str(tmp_path / "centroid_year")).collect()} == {("A", 2001): (3, [0.0, 0.0]), ("A", 2002): (1, [4.0, 0.0]), ("B", 2002): (1, [1.0, 1.0])}
+    assert {r.k: (r.n, r.vec, r.years) for r in spark.read.parquet(str(tmp_path / "centroid")).collect()} == {"A": (4, [1.0, 0.0], [2001, 2002]), "B": (1, [1.0, 1.0], [2002])}
+
+
+def test_masked_mean_and_truncation():
+    texts = ["a bb ccc", "dddd", "", "a " * 9 + "b" * 11]
+    whole = vectors.encoder(Model(), batch=3, step=4)(texts)
+    assert np.allclose(whole, [[2, 4], [4, 8], [0, 0], [2, 4]])
+    cut = vectors.encoder(Model(), max_tokens=2, step=4)(texts)
+    assert np.allclose(cut, [[1.5, 3], [4, 8], [0, 0], [1, 2]])
+    states = vectors.HashingModel(64).states(np.array([[5, 7, 5]]))
+    assert states.shape == (1, 3, 64) and (states[0, 0] == states[0, 2]).all() and (states[0, 0] != states[0, 1]).any()
 
 
 def test_chunks_cover_each_row_once(spark, sf):
@@ -166,8 +206,10 @@ def test_plan_covers_the_year(cap, chunks):
 
 
 def test_fetch_and_parse(spark):
-    plan = list(remote.plan_chunks("c", "q", 2001, Client().count, 500))
-    documents = remote.fetch_documents(spark, plan, Client, 2)
+    work = spark.createDataFrame([("c", "q", 2001), ("c", "q", 2002)], "condition string, query string, file_year int")
+    plan = remote.plan_documents(work, Client, 500, 2)
+    assert sorted((r.found, r.lost) for r in plan.collect()) == sorted((c.found, c.lost) for c in remote.plan_chunks("c", "q", 2001, Client().count, 500))
+    documents = remote.fetch_documents(plan, Client, 2, after=0)
     records = records_xml.parse_records(documents, "xml", ["condition", "file_year"])
     assert records.count() == 1240 and records.where("error is not null").count() == 0
 
@@ -182,6 +224,28 @@ def test_failing_batches_are_reported():
     assert waits == [2.0, 2.0]
 
 
+class Silent(Client):
+    def count(self, text):
+        raise OSError("no route")
+
+
+def test_a_failing_plan_gives_error_rows(spark):
+    work = spark.createDataFrame([("c", "q", 2001)], "condition string, query string, file_year int")
+    assert [(r.file_year, r.xml, r.error) for r in remote.fetch_documents(remote.plan_documents(work, Silent), Silent).collect()] == [(2001, None, "no route")]
+
+
+def test_fetches_keep_to_the_rate():
+    calls = []
+
+    class Counted(Client):
+        def fetch(self, ids):
+            calls.append(time.monotonic())
+            return super().fetch(ids)
+
+    list(remote.fetch_chunk(Counted(1000), '"2001"[Date - Publication]', cap=600, after=0.05))
+    assert len(calls) == 6 and min(b - a for a, b in zip(calls, calls[1:])) >= 0.05
+
+
 ARTICLE = """<Set><PubmedArticle><PMID>7</PMID><ArticleTitle>Use of <i>E. coli</i> in x</ArticleTitle><Journal><ISOAbbreviation>J X</ISOAbbreviation></Journal>
 <PubDate><MedlineDate>1998 Dec-1999 Jan</MedlineDate></PubDate><Abstract><AbstractText Label="AIM">To see <b>how</b> it goes in a longer text than fifty.</AbstractText><AbstractText>More.</AbstractText></Abstract>
 <MeshHeading><DescriptorName>A, b</DescriptorName></MeshHeading><MeshHeading><DescriptorName>C</DescriptorName></MeshHeading>
@@ -238,6 +302,21 @@ def test_incremental_ingest(spark, tmp_path):
         (tmp_path / "in" / "A" / f"A_{year}.csv").write_text(header + f"{year},T,x,J,2000,,,,A\n")
         ingest_csv(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(60)
         assert spark.read.parquet(str(tmp_path / "out")).count() == year - 1999
+    written = corpus_files.read_corpus_csv(spark, str(tmp_path / "in")).where("file_year = 2001")
+    corpus_files.write_corpus(written.withColumn("file_year", F.lit(2005)), str(tmp_path / "batch"))
+    both = spark.read.parquet(str(tmp_path / "out")).unionByName(spark.read.parquet(str(tmp_path / "batch")))
+    assert {(r.pmid, r.folder, r.file_year, r.abstract, r.authors) for r in both.collect()} == {("2000", "A", 2000, "x", None), ("2001", "A", 2001, "x", None), ("2001", "A", 2005, "x", None)}
+
+
+def test_score_headings_and_summary(spark, sf, tmp_path):
+    scores = corpus_queries.score_export(spark, sf)
+    exported = corpus_files.with_headings(scores)
+    assert exported.columns[:3] == ["Condition", "Condition_Folder", "Quality_Score"] and len(exported.columns) == 14
+    again = corpus_files.with_table_names(exported)
+    assert sorted(again.columns) == sorted(scores.columns) and corpus_files.with_table_names(scores).columns == scores.columns
+    corpus_files.export_summary(corpus_queries.validation_summary(spark, sf), str(tmp_path / "summary"))
+    summary = json.loads(spark.read.text(str(tmp_path / "summary")).first()[0])
+    assert json.loads(summary["scores"])["conditions"] == scores.count() and "missing_years" in json.loads(summary["gaps"])
 
 
 def test_entry_and_names(spark):
