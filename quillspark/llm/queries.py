@@ -10,6 +10,7 @@ from quillspark.llm import leakage, neighbours, packing, splitting, text_quality
 from quillspark.llm import term_frequency as tf
 from quillspark.llm.sql_twins import SQL  # noqa: F401
 from quillspark.operators.packed_values import parse_field
+from quillspark.operators.terms import simple_terms
 from quillspark.session import table
 
 
@@ -35,6 +36,16 @@ def p2_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tf.term_frequencies(_terms(spark, sf_dir), "record_id", "terms")
 
 
+def _simple_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    papers = table(spark, sf_dir, "papers")
+    return papers.select("record_id", F.transform(simple_terms("mesh_terms"), F.lower).alias("terms"))
+
+
+def p2_semicolon_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same counters over fields cut at semicolons only, which SQL can cut as well."""
+    return tf.term_frequencies(_simple_terms(spark, sf_dir), "record_id", "terms")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The descriptors that are too rare or too common."""
     return p2_frequencies(spark, sf_dir).where("mark is not null").select("term", "mark")
@@ -45,6 +56,12 @@ def p4_together(spark: SparkSession, sf_dir: str) -> DataFrame:
     return co.cooccurrence(_terms(spark, sf_dir), "terms")
 
 
+def p4_semicolon_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same pairs over fields cut at semicolons only, which SQL can cut as well."""
+    pairs = co.cooccurrence(_simple_terms(spark, sf_dir), "terms")
+    return pairs.withColumn("lift", F.round("lift", 6)).withColumn("pmi", F.round("pmi", 6))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs in at least 5 papers and one of 2000, at least four times as often as by chance."""
     pairs = co.cooccurrence(_terms(spark, sf_dir), "terms", min_together=5)
@@ -92,6 +109,13 @@ def p8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.withColumnRenamed("id", "doc_id")
 
 
+def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistics that SQL can make as well, and the published rules on them."""
+    shares = ("mean_word_len", "end_punct_share", "common_share")
+    rules = F.filter("published", lambda r: r.isin("gopher_word_count", "gopher_mean_word_length", "gopher_stop_words", "fineweb_line_punctuation"))
+    return p8_quality(spark, sf_dir).select("doc_id", "n_chars", "n_words", "n_lines", *[F.round(c, 6).alias(c) for c in shares], rules.alias("failed"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that are not natural prose."""
     return p8_quality(spark, sf_dir).where("kind <> 'prose'").select("doc_id", "kind")
@@ -99,6 +123,6 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_neighbours, p1_found, p2_frequencies, p2_found, p3_pieces, p3_found, p4_together, p4_found, p6_packed, p7_leaks, p7_found, p7_cleaned, p8_quality, p8_found)
+    for f in (p1_neighbours, p1_found, p2_frequencies, p2_semicolon_terms, p2_found, p3_pieces, p3_found, p4_together, p4_semicolon_pairs, p4_found, p6_packed, p7_leaks, p7_found, p7_cleaned, p8_quality, p8_statistics, p8_found)
 }
 

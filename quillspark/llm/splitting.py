@@ -25,8 +25,11 @@ FORCED, WORD, CLAUSE, SENTENCE, PARAGRAPH = range(5)
 _CUTS = ("forced", "word", "word", "sentence", "sentence")
 
 
-def _segments(text: str, limit: int, overlap: int) -> list[list[int]]:
-    """Atomic segments [start, end, strength of the boundary after it], without outer white space."""
+def _segments(text: str, limit: int, overlap: int, whole: int) -> list[list[int]]:
+    """Atomic segments [start, end, strength of the boundary after it], without outer white space.
+
+    Sentences of up to `whole` code points stay whole.
+    """
     bounds, at = [], 0
     for m in _SENTENCE_END.finditer(text):
         bounds.append((at, m.end()))
@@ -40,12 +43,12 @@ def _segments(text: str, limit: int, overlap: int) -> list[list[int]]:
         end = start + len(inner.strip())
         if start >= end:
             continue
-        if end - start <= limit:
+        if end - start <= whole:
             segments.append([start, end, SENTENCE])
         else:
             for word in _STRETCH.finditer(text, start, end):
                 a, b = word.span()
-                if b - a > limit:
+                if b - a > whole:
                     segments.extend([x, min(b, x + room), FORCED] for x in range(a, b, room))
                 else:
                     segments.append([a, b, 0])
@@ -57,9 +60,9 @@ def _segments(text: str, limit: int, overlap: int) -> list[list[int]]:
     return segments
 
 
-def cut_points(text: str, limit: int, overlap: int) -> list[tuple[int, int, str]]:
+def cut_points(text: str, limit: int, overlap: int, whole: int | None = None) -> list[tuple[int, int, str]]:
     """Cores of the pieces: (start, end, kind of the boundary at the end); text is stripped."""
-    segments = _segments(text, limit, overlap)
+    segments = _segments(text, limit, overlap, limit if whole is None else whole)
     n = len(segments)
     starts, ends, strength = ([s[i] for s in segments] for i in range(3))
     before, after = list(range(-1, n - 1)), list(range(1, n + 1))
@@ -83,9 +86,9 @@ def cut_points(text: str, limit: int, overlap: int) -> list[tuple[int, int, str]
     return [(starts[i], ends[i], _CUTS[strength[i]]) for i in range(n) if alive[i]]
 
 
-def pieces_of(text: str, limit: int, overlap: int) -> list[tuple[int, int, int, str]]:
+def pieces_of(text: str, limit: int, overlap: int, full_overlap: bool = False) -> list[tuple[int, int, int, str]]:
     """Pieces (start, core start, end, boundary): each repeats the end of the one before."""
-    cores = cut_points(text, limit, overlap)
+    cores = cut_points(text, limit, overlap, max(1, limit - overlap) if full_overlap else limit)
     pieces = []
     for i, (start, end, kind) in enumerate(cores):
         begin = start
@@ -104,7 +107,7 @@ def pieces_of(text: str, limit: int, overlap: int) -> list[tuple[int, int, int,
 _PIECE = "array<struct<piece:int,start:int,core_start:int,end:int,boundary:string,text:string>>"
 
 
-def split_texts(df: DataFrame, id_col: str, text_col: str, limit: int, overlap: int) -> DataFrame:
+def split_texts(df: DataFrame, id_col: str, text_col: str, limit: int, overlap: int, full_overlap: bool = False) -> DataFrame:
     """Pieces of every text over `limit` code points, outer white space not counted.
 
     Rows (id, piece, start, core_start, end, boundary, text): pieces count from 1; offsets are
@@ -113,6 +116,10 @@ def split_texts(df: DataFrame, id_col: str, text_col: str, limit: int, overlap:
     text[core_start:end] cover everything but white space, in order. `boundary` tells how a
     piece ends: `sentence`, `word`, `forced` (inside a stretch without white space) or `end`.
 
+    A sentence of more than limit - overlap code points leaves less room for the repeated text
+    before it, none at all if it is as long as the limit. With `full_overlap` such sentences are
+    cut between words instead, so that the overlap is only shortened to begin at a word.
+
     Null, empty and shorter texts give no rows, texts of any length are cut whole, repeated
     rows give repeated pieces, and other columns are ignored.
     """
@@ -126,7 +133,7 @@ def split_texts(df: DataFrame, id_col: str, text_col: str, limit: int, overlap:
         for text in texts.to_pylist():
             text = (text or "").strip()
             if len(text) > limit:
-                rows.extend((k, a, b, c, kind, text[a:c]) for k, (a, b, c, kind) in enumerate(pieces_of(text, limit, overlap), 1))
+                rows.extend((k, a, b, c, kind, text[a:c]) for k, (a, b, c, kind) in enumerate(pieces_of(text, limit, overlap, full_overlap), 1))
             offsets.append(len(rows))
         columns = list(zip(*rows)) or [()] * 6
         kinds = [pa.int32()] * 4 + [pa.string()] * 2

@@ -41,6 +41,14 @@ def test_pieces_round_trip(name, overlap):
     assert worst == kind_of(text, 200)
 
 
+def test_full_overlap_cuts_long_sentences():
+    text = " ".join(("word " * 39 + "end.") for _ in range(3))
+    assert [core - start for start, core, _, _ in pieces_of(text, 200, 20)] == [0, 0, 0]
+    full = pieces_of(text, 200, 20, full_overlap=True)
+    assert all(end - start <= 200 for start, _, end, _ in full) and all(14 <= core - start <= 20 for start, core, _, _ in full[1:])
+    assert "".join("".join(text[core:end].split()) for _, core, end, _ in full) == "".join(text.split())
+
+
 def test_strong_boundaries_win():
     pieces = pieces_of(TEXTS["paragraphs"], 200, 0)
     assert all(TEXTS["paragraphs"][end : end + 2] in ("\n\n", "") for _, _, end, _ in pieces)
