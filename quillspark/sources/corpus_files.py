@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -54,7 +54,7 @@ def write_corpus(papers: DataFrame, path: str) -> None:
     papers.withColumn("folder", folder).repartition("folder", "file_year").write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("folder", "file_year").parquet(path)
 
 
-def export_csv(df: DataFrame, path: str, *order: str) -> None:
+def export_csv(df: DataFrame, path: str, *order: str | Column) -> None:
     """One small report as a single CSV file with a header, in order."""
     df.orderBy(*order).coalesce(1).write.mode("overwrite").options(header=True, quote='"', escape='"').csv(path)
 

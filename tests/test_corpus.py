@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from quillspark.functions.stats import slope_p_value, t_p_value
 from quillspark.operators import chunking, quality, terms, vectors
 from quillspark.operators.querytext import date_constraint, search_text
-from quillspark.plans import corpus_queries
+from quillspark.plans import corpus_queries, pipeline
 from quillspark.sources import corpus_files, records_xml, remote
 from quillspark.streaming.ingest import ingest_csv
 
@@ -319,6 +319,40 @@ def test_score_headings_and_summary(spark, sf, tmp_path):
     assert json.loads(summary["scores"])["conditions"] == scores.count() and "missing_years" in json.loads(summary["gaps"])
 
 
+def test_pipeline(spark, sf, tmp_path):
+    out = str(tmp_path)
+    given = pipeline.parameters(["--tables", sf, "--out", out, "--conditions", "4", "--min-quality", "20", "--width", "16"])
+    assert (given.first, given.years) == (4, None) and pipeline.parameters(["--test-mode"]).years == [2020, 2021, 2022, 2023, 2024]
+    for _ in range(2):  # a second run replaces the first
+        pipeline.validate(spark, sf, out)
+    scores = spark.read.csv(f"{out}/quality_scores", header=True)
+    assert scores.count() == corpus_queries.condition_scores(spark, sf).count() and "Abstract_Coverage_%" in scores.columns
+    assert spark.read.csv(f"{out}/temporal_counts", header=True).where("year = 'TOTAL'").count() == 1
+    assert spark.read.csv(f"{out}/data_gaps", header=True).count() == corpus_queries.data_gaps(spark, sf).count()
+    assert spark.read.text(f"{out}/report").where("value like 'scores, conditions:%'").count() == 1
+    pipeline.embed(spark, sf, out, given)
+    chosen = [r.condition for r in spark.read.csv(f"{out}/selection", header=True).collect()]
+    centroids = spark.read.parquet(f"{out}/centroid")
+    assert 0 < len(chosen) <= 4 and {r.condition for r in centroids.collect()} == set(chosen) and len(centroids.first().vec) == 16
+    assert spark.read.csv(f"{out}/similarity", header=True).count() == len(chosen) and spark.read.json(f"{out}/embeddings").count() == len(chosen)
+
+
+def test_retrieval_and_resume(spark, tmp_path):
+    out = str(tmp_path)
+    catalog = spark.createDataFrame([("C d", "C_d", None)], "name string, folder string, search_query string")
+    log = spark.createDataFrame([(i, "C d", str(y), "Complete", None) for i, y in enumerate(range(1975, 2025)) if y not in (2001, 2002)], "entry_id long, condition string, year string, status string, ts timestamp")
+    work = pipeline.open_work(catalog, log)
+    assert {(r.condition, r.file_year) for r in work.collect()} == {("C d", 2001), ("C d", 2002)} and work.first().query.startswith('"C d"')
+    pipeline.retrieve(work, Client, out, 2, 0)
+    assert spark.read.parquet(f"{out}/corpus").where("folder = 'C_d' and file_year = 2001").count() == 1240
+    assert {(r.year, r.total_found, r.total_retrieved, r.completeness) for r in spark.read.parquet(f"{out}/completeness").collect()} == {("2001", 1240, 1240, 100.0), ("2002", 0, 0, 100.0)}
+    checkpoint = spark.read.parquet(f"{out}/checkpoint")
+    assert {r.status for r in checkpoint.collect()} == {"complete"}
+    assert pipeline.open_work(catalog, log.unionByName(checkpoint)).count() == 0
+    pipeline.retrieve(work, Silent, out, 2, 0)
+    assert spark.read.parquet(f"{out}/checkpoint").where("status = 'error'").count() == 2
+
+
 def test_entry_and_names(spark):
     import __spark_entry__ as entry
 
