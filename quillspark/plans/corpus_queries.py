@@ -338,12 +338,16 @@ def open_work(spark: SparkSession, d: str) -> DataFrame:
     return quality.year_grid(_catalog(spark, d)).join(done, ["condition", "file_year"], "left_anti")
 
 
-@query("SELECT name, folder, replace(replace(name, '/', '_'), ' ', '_') AS made_folder, replace(folder, '_', ' ') AS display, CASE WHEN length(name) > 20 THEN substring(name, 1, 17) || '...' ELSE name END AS label, coalesce(search_query, '\"' || name || '\"[Title/Abstract] OR \"' || replace(replace(lower(name), ' and ', ' '), '/', ' ') || '\"[Title/Abstract]') AS search FROM condition_catalog")
+@query("SELECT name, folder, replace(replace(name, '/', '_'), ' ', '_') AS made_folder, replace(folder, '_', ' ') AS display, CASE WHEN length(name) > 20 THEN substring(name, 1, 17) || '...' ELSE name END AS label, coalesce(search_query, '\"' || name || '\"[Title/Abstract] OR \"' || replace(replace(lower(name), ' and ', ' '), '/', ' ') || '\"[Title/Abstract]') AS search, coalesce(n, 0) AS papers FROM condition_catalog LEFT JOIN (SELECT condition, count(*) AS n FROM papers GROUP BY ALL) p ON p.condition = name")
 def catalog_names(spark: SparkSession, d: str) -> DataFrame:
-    """Folder, display name, short label and search text of every condition."""
+    """Folder, display name, short label, search text and papers of every condition."""
     name = F.col("name")
     label = F.when(F.length(name) > 20, F.concat(F.substring(name, 1, 17), F.lit("..."))).otherwise(name)
-    return _catalog(spark, d).select("name", "folder", F.translate(name, "/ ", "__").alias("made_folder"), F.translate("folder", "_", " ").alias("display"), label.alias("label"), querytext.condition_search("name", "search_query").alias("search"))
+    counts = _papers(spark, d).groupBy(F.col("condition").alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    return _catalog(spark, d).join(counts, "name", "left").select(
+        "name", "folder", F.translate(name, "/ ", "__").alias("made_folder"), F.translate("folder", "_", " ").alias("display"), label.alias("label"),
+        querytext.condition_search("name", "search_query").alias("search"), F.coalesce("n", F.lit(0)).alias("papers"),
+    )
 
 
 _BUCKETS = "SELECT condition, retrieved_at AS ts, strftime(retrieved_at, '%Y') AS year, strftime(retrieved_at, '%Y/%m') AS month, strftime(retrieved_at, '%Y/%m') || 'w' || ((day(retrieved_at) - 1) // 7 + 1)::INT AS week, strftime(retrieved_at, '%Y/%m/%d') AS day, strftime(retrieved_at, '%Y/%m/%d') || 'h' || (hour(retrieved_at) // 6)::INT AS six_hours, strftime(retrieved_at, '%Y/%m/%d') || 'q' || (hour(retrieved_at) * 4 + minute(retrieved_at) // 15)::INT AS quarter_hour FROM papers WHERE retrieved_at IS NOT NULL"
@@ -595,10 +599,19 @@ def validation_summary(spark: SparkSession, d: str) -> DataFrame:
     return long("scores", scores).unionByName(long("gaps", gaps))
 
 
-@query("SELECT name, ord FROM condition_catalog WHERE name IN (SELECT name FROM condition_catalog ORDER BY md5(name || '42'), name LIMIT 30)")
+@query(f"WITH {_TERMS}, s AS (SELECT name, ord FROM condition_catalog ORDER BY md5(name || '42'), name LIMIT 30), a AS (SELECT condition, count(packed) * 100.0 / count(*) AS coverage FROM tp GROUP BY ALL), b AS (SELECT condition, count(DISTINCT term) AS distinct_terms FROM tr GROUP BY ALL) SELECT name, ord, round(coverage, 6) AS coverage, coalesce(distinct_terms, 0) AS distinct_terms FROM s LEFT JOIN a ON a.condition = name LEFT JOIN b ON b.condition = name")
 def condition_sample(spark: SparkSession, d: str) -> DataFrame:
-    """A seeded sample of 30 conditions (the sampling operator itself)."""
-    return _catalog(spark, d).orderBy(F.md5(F.concat("name", F.lit("42"))), "name").limit(30).select("name", "ord")
+    """A seeded sample of 30 conditions (the sampling operator itself) with the term coverage of their papers."""
+    sample = _catalog(spark, d).orderBy(F.md5(F.concat("name", F.lit("42"))), "name").limit(30).select("name", "ord")
+    papers = _papers(spark, d).join(sample.select(F.col("name").alias("condition")), "condition", "left_semi")
+    stats = terms.condition_terms(papers).select(F.col("condition").alias("name"), F.round("coverage", 6).alias("coverage"), "distinct_terms")
+    return sample.join(stats, "name", "left").select("name", "ord", "coverage", F.coalesce("distinct_terms", F.lit(0)).cast("long").alias("distinct_terms"))
+
+
+@query("WITH f AS (SELECT folder, count(DISTINCT file_year) AS files, count(DISTINCT CASE WHEN file_year BETWEEN 1975 AND 2024 THEN file_year END) / 50.0 * 100 AS coverage FROM papers GROUP BY ALL) SELECT count(*) AS folders, sum(files)::BIGINT AS files, round(avg(coverage), 6) AS mean_coverage FROM f")
+def inventory_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Folders, files and mean year coverage of the whole corpus."""
+    return corpus_inventory(spark, d).agg(F.count(F.lit(1)).alias("folders"), F.sum("files").alias("files"), F.round(F.avg("year_coverage"), 6).alias("mean_coverage"))
 
 
 @query(f"WITH {_YS}, {_FILLED} SELECT file_year, {', '.join(f'''sum(papers) FILTER (WHERE file_year // 10 = {y // 10} AND papers > 0)::BIGINT AS d{y}''' for y in range(1970, 2030, 10))} FROM filled GROUP BY ALL")

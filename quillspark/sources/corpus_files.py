@@ -102,6 +102,19 @@ def line_counts(spark: SparkSession, root: str) -> DataFrame:
     return lines.select("file", F.greatest(F.col("n") - 1, F.lit(0)).alias("lines"))
 
 
+_STATE = "map<string, map<string, struct<status: string, total_found: bigint, total_retrieved: bigint, completeness: double, timestamp: string>>>"
+
+
+def read_state_json(spark: SparkSession, path: str) -> DataFrame:
+    """The entries of a checkpoint or completeness JSON file, one row per condition and year.
+
+    The columns of the other kind of file are null; a file that cannot be read as such holds none.
+    """
+    state = spark.read.text(path, wholetext=True).select(F.from_json("value", _STATE).alias("state"))
+    years = state.select(F.explode("state").alias("condition", "years")).select("condition", F.explode("years").alias("year", "entry"))
+    return years.select("condition", "year", "entry.status", "entry.total_found", "entry.total_retrieved", "entry.completeness", F.col("entry.timestamp").try_cast("timestamp").alias("ts"))
+
+
 def append_log(entries: DataFrame, path: str) -> None:
     """Add entries to an append-only log table (checkpoint or completeness)."""
     entries.write.mode("append").parquet(path)

@@ -295,6 +295,16 @@ def test_corpus_files(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "log")).count() == 4
 
 
+def test_state_files(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps({"C d": {"2000": {"status": "complete", "timestamp": "2024-01-02T03:04:05"}, "2001": {"status": "error", "timestamp": "x"}}, "E": {}}))
+    (tmp_path / "b.json").write_text(json.dumps({"C d": {"2000": {"total_found": 4, "total_retrieved": 3, "completeness": 75.0, "timestamp": None}}}))
+    (tmp_path / "c.json").write_text('{"C d": {"2000"')
+    a, b = (corpus_files.read_state_json(spark, str(tmp_path / f"{name}.json")).collect() for name in "ab")
+    assert sorted((r.condition, r.year, r.status, r.ts is not None, r.total_found) for r in a) == [("C d", "2000", "complete", True, None), ("C d", "2001", "error", False, None)]
+    assert [(r.year, r.total_found, r.total_retrieved, r.completeness, r.status) for r in b] == [("2000", 4, 3, 75.0, None)]
+    assert corpus_files.read_state_json(spark, str(tmp_path / "c.json")).count() == 0
+
+
 def test_incremental_ingest(spark, tmp_path):
     header = ",".join(corpus_files.CSV_COLUMNS) + "\n"
     (tmp_path / "in" / "A").mkdir(parents=True)
