@@ -29,7 +29,7 @@ INNER_SENTENCE = r"\p{Ll}{2}\)?[.!?]\s{1,9}\p{Lu}"
 FINISHED = r"[\p{Ll}\d%)]{2}[.!?](?:\s|$)"
 SENTENCE_END = r"[.!?][\"')\]»”]{0,5}$"
 MOJIBAKE = r"Ã.|â€|ï»¿|Â[°-¿]|�|□"
-TAG = r"<[^<>]+>"
+TAG = r"</?[a-zA-Z!][^<>]*>"
 HEX_LINE = r"(?i)^\s*[0-9a-f]{8}\s(?:\s*[0-9a-f]{2}){4,}"
 LINE_BREAK = r"\r\n|[\n\r\x{85}\x{2028}]"
 SEGMENT_BREAK = r"[\n\r\x{85}\x{2028}|\t]|\s{2,}"
@@ -40,11 +40,11 @@ TOKEN_BREAK = r"[^\p{L}\p{N}'’-]+"
 PUBLISHED = {
     "gopher_words_min": 50, "gopher_words_max": 100_000, "gopher_mean_word_min": 3.0, "gopher_mean_word_max": 10.0, "gopher_symbols_max": 0.1, "gopher_bullets_max": 0.9,
     "gopher_ellipsis_max": 0.3, "gopher_alphabetic_min": 0.8, "gopher_stop_words_min": 2, "gopher_duplicates_max": 0.3, "gopher_duplicate_chars_max": 0.2,
-    "fineweb_punctuation_min": 0.12, "fineweb_short_lines_max": 0.67,
+    "fineweb_punctuation_min": 0.12, "fineweb_short_lines_max": 0.67, "fineweb_duplicate_chars_max": 0.1,
 }
 #: Thresholds of this module's own rules, for what the published ones cannot tell: short texts, lists, tables, encodings.
 OWN = {
-    "letters_min": 0.5, "mojibake_max": 0.02, "tags_max": 0.3, "hex_max": 0.5, "words_min": 8, "word_max": 60, "repeats_min": 6.0, "repeated_words_max": 12, "common_min": 0.09, "segments_min": 4,
+    "letters_min": 0.5, "mojibake_max": 0.02, "tags_max": 0.3, "hex_max": 0.5, "words_min": 8, "word_max": 60, "repeats_min": 6.0, "repeated_words_max": 12, "common_min": 0.09, "segments_min": 4, "segment_max": 9.0, "duplicates_max": 0.6,
     "table_min": 0.4, "entries_min": 0.5, "entry_common_max": 0.2, "entry_words_max": 14, "short_entry_words_max": 5, "inline_parts_min": 4, "inline_words_max": 7,
     "sentence_rate_max": 0.02, "entries_count_min": 3, "unfinished_lines_min": 4, "unfinished_words_max": 9, "list_common_max": 0.15,
 }
@@ -52,7 +52,7 @@ OWN = {
 _STATISTICS = {
     "n_chars": "long", "n_words": "long", "mean_word_len": "double", "max_word_len": "long", "symbol_share": "double", "letter_share": "double", "n_lines": "long", "end_punct_share": "double",
     "bullet_share": "double", "ellipsis_share": "double", "short_line_share": "double", "alphabetic_share": "double", "symbol_word_ratio": "double", "common_words": "long", "common_share": "double",
-    "distinct_share": "double", "duplicate_share": "double", "duplicate_char_share": "double", "n_segments": "long", "table_share": "double", "entry_share": "double", "marked_share": "double", "sentence_rate": "double",
+    "distinct_share": "double", "duplicate_share": "double", "duplicate_char_share": "double", "n_segments": "long", "mean_segment_len": "double", "table_share": "double", "entry_share": "double", "marked_share": "double", "sentence_rate": "double",
     "mojibake_share": "double", "tag_share": "double", "hex_share": "double",
 }
 
@@ -147,6 +147,9 @@ def _measure(texts: pa.Array, known, classes: np.ndarray) -> dict[str, np.ndarra
     held = lines.per_text(lines.sizes)
 
     segments = _Parts(texts, SEGMENT_BREAK)
+    segments.values = pc.utf8_trim_whitespace(segments.values)
+    segments.sizes = pc.utf8_length(segments.values).to_numpy()
+    segments.keep(segments.sizes > 0)
     n_segments, first = segments.per_text(), segments.distinct()
     tagged = texts if not pc.any(pc.match_substring(texts, "<")).as_py() else pc.replace_substring_regex(texts, TAG, "")
     hashes = pc.count_substring_regex(texts, r"#|\.\.\.|…").to_numpy()
@@ -170,6 +173,7 @@ def _measure(texts: pa.Array, known, classes: np.ndarray) -> dict[str, np.ndarra
         "duplicate_share": _share(n_segments - np.bincount(segments.parent[first], minlength=count), n_segments),
         "duplicate_char_share": _share(segments.per_text(segments.sizes) - np.bincount(segments.parent[first], segments.sizes[first], count), n_chars),
         "n_segments": n_segments,
+        "mean_segment_len": _share(segments.per_text(segments.sizes), n_segments),
         "table_share": _share(lines.per_text(lines.sizes * row), held),
         "entry_share": _share(lines.per_text(lines.sizes * entry), held),
         "marked_share": _share(lines.per_text(lines.sizes * marked), held),
@@ -257,12 +261,14 @@ def published_rules() -> dict[str, Column]:
         "gopher_duplicate_chars": c("duplicate_char_share") > limit["gopher_duplicate_chars_max"],
         "fineweb_line_punctuation": c("end_punct_share") <= limit["fineweb_punctuation_min"],
         "fineweb_short_lines": c("short_line_share") >= limit["fineweb_short_lines_max"],
+        "fineweb_duplicate_chars": c("duplicate_char_share") >= limit["fineweb_duplicate_chars_max"],
     }
 
 
 def kind_rules() -> dict[str, Column]:
     """The rules that decide a text's kind, in their order: published ones where they can tell, else own ones."""
     c, own, rule = F.col, OWN, published_rules()
+    bare = (c("n_segments") >= own["segments_min"]) & (c("marked_share") < own["entries_min"])
     table, some, entries = c("table_share") >= own["table_min"], c("n_words") >= own["words_min"], c("entry_share") >= own["entries_min"]
     return {
         "junk:blank": c("n_words") == 0,
@@ -270,8 +276,9 @@ def kind_rules() -> dict[str, Column]:
         "junk:hex": c("hex_share") > own["hex_max"],
         "junk:mojibake": c("mojibake_share") > own["mojibake_max"],
         "junk:markup": c("tag_share") > own["tags_max"],
-        "junk:gopher_mean_word_length": rule["gopher_mean_word_length"] & (some | (c("mean_word_len") > own["word_max"])) & ~table,
-        "junk:gopher_duplicates": rule["gopher_duplicates"] & (c("n_segments") >= own["segments_min"]) & (c("end_punct_share") == 0) & (c("marked_share") < own["entries_min"]) & ~table,
+        "junk:gopher_mean_word_length": rule["gopher_mean_word_length"] & (some | (c("mean_word_len") > own["word_max"])) & ~table & (c("marked_share") < own["entries_min"]),
+        "junk:gopher_duplicates": rule["gopher_duplicates"] & (c("duplicate_share") > own["duplicates_max"]) & bare & ~table,
+        "junk:fineweb_lines": rule["fineweb_duplicate_chars"] & rule["fineweb_line_punctuation"] & (c("mean_segment_len") < own["segment_max"]) & bare & ~table,
         "junk:repeated_words": (c("distinct_share") * own["repeats_min"] <= 1) & (c("distinct_share") * c("n_words") <= own["repeated_words_max"]) & ~table,
         "junk:no_common_words": (c("common_share") < own["common_min"]) & some & ~table & ~entries,
         "table:rows": table,
