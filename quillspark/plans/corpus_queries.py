@@ -555,12 +555,12 @@ def longest_series(spark: SparkSession, d: str) -> DataFrame:
     return embedding_years(spark, d).select("condition", "years").orderBy(F.desc("years"), "condition").limit(10)
 
 
-@query("SELECT vec_id, condition, aggregate_embedding AS embedding, len(aggregate_embedding) AS embedding_dim, list_sort(list_distinct(years_covered)) AS years_available FROM condition_embeddings WHERE aggregate_embedding IS NOT NULL AND NOT list_bool_or(list_transform(aggregate_embedding, lambda x: x IS NULL OR isnan(x)))")
+@query("SELECT vec_id, condition, aggregate_embedding::DOUBLE[] AS embedding, len(aggregate_embedding) AS embedding_dim, list_sort(list_distinct(years_covered)) AS years_available FROM condition_embeddings WHERE aggregate_embedding IS NOT NULL AND NOT list_bool_or(list_transform(aggregate_embedding, lambda x: x IS NULL OR isnan(x)))")
 def embedding_export(spark: SparkSession, d: str) -> DataFrame:
     """What the downstream join file holds of each stored embedding that is a vector of numbers."""
     numbers = F.forall("aggregate_embedding", lambda x: x.isNotNull() & ~F.isnan(x))
     kept = table(spark, d, "condition_embeddings").where(F.col("aggregate_embedding").isNotNull() & numbers)
-    return kept.select("vec_id", "condition", F.col("aggregate_embedding").alias("embedding"), F.size("aggregate_embedding").cast("long").alias("embedding_dim"), F.sort_array(F.array_distinct("years_covered")).alias("years_available"))
+    return kept.select("vec_id", "condition", F.col("aggregate_embedding").cast("array<double>").alias("embedding"), F.size("aggregate_embedding").cast("long").alias("embedding_dim"), F.sort_array(F.array_distinct("years_covered")).alias("years_available"))
 
 
 @query("SELECT condition, year, total_found, total_retrieved, round(CASE WHEN total_found > 0 THEN total_retrieved * 100.0 / total_found ELSE 100.0 END, 6) AS completeness FROM completeness QUALIFY row_number() OVER (PARTITION BY condition, year ORDER BY ts DESC NULLS LAST, entry_id DESC) = 1")
